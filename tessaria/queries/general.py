@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessaria.operators.attribute_history import fingerprint_history
+from tessaria.operators.timestamps import normalise_timestamps
 from tessaria.runtime import table
 
 
@@ -12,7 +16,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_history(table(spark, sf_dir, "event_updates"), table(spark, sf_dir, "stored_events"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The home zone and date order come from the row's source; the sources table is a small dimension, and the
+    join is left to the optimizer, which broadcasts it only while its measured size is under the threshold."""
+    sources = table(spark, sf_dir, "sources").select("source_id", "domain", "home_zone", "date_order")
+    parts = []
+    for name, row, text, link in (
+        ("raw_items", "item_id", "published_at", "source_id"),
+        ("articles", "article_id", "published_at", "domain"),
+        ("nvd_cves", "row_id", "published", None),
+        ("kev_catalog", "row_id", "dateadded", None),
+    ):
+        own = {"source_id": "source_id", "domain": "source_domain"}.get(link)
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), F.col(row).alias("row_id"), F.col(text).alias("said"), *([F.col(own).alias("link")] if own else []))
+        rows = rows.filter(F.col("said").isNotNull())
+        if own:
+            side = sources.select(F.col(link).alias("link"), "home_zone", "date_order").filter("link is not null").dropDuplicates(["link"])
+            rows = rows.join(side, "link", "left").drop("link")
+        else:
+            rows = rows.withColumns({"home_zone": F.lit("UTC"), "date_order": F.lit("dmy")})
+        parts.append(rows)
+    said = reduce(DataFrame.unionByName, parts)
+    return normalise_timestamps(said, "said", "home_zone", "date_order").select("tbl", "row_id", "utc_us")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
