@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessaria.llm.components import consolidate
 from tessaria.llm.encode import encode_corpus
+from tessaria.llm.leaks import find_leaks
 from tessaria.runtime import table
 
 
@@ -17,7 +18,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
