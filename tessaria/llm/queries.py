@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessaria.llm.components import consolidate
 from tessaria.llm.encode import encode_corpus
 from tessaria.llm.leaks import find_leaks
+from tessaria.llm.neardup import all_pairs, near_duplicates
 from tessaria.runtime import table
 
 
@@ -22,7 +23,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
+#: What the statement of problems 4 and 6 asks for: runs of three words, similarity 0.7.
+ITEM_TEXT, ITEM_WORDS, ITEM_SIMILARITY = ["title", "summary", "content"], 3, 0.7
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, members = near_duplicates(table(spark, sf_dir, "raw_items"), "item_id", ITEM_TEXT, ITEM_WORDS, ITEM_SIMILARITY)
+    return all_pairs(pairs, members, "item_id_a", "item_id_b")
+
+
+QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
