@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessaria.llm.components import consolidate
 from tessaria.llm.encode import encode_corpus
+from tessaria.llm.history import Store, admit
 from tessaria.llm.leaks import find_leaks
-from tessaria.llm.neardup import all_pairs, near_duplicates
-from tessaria.runtime import table
+from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates, shared_order
+from tessaria.runtime import key, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +36,31 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(pairs, members, "item_id_a", "item_id_b")
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
+#: Arrival batches admitted at once when a whole table is replayed; the result doesn't depend on it.
+BATCHES_AT_ONCE = 8
+
+
+def _replay(rows: DataFrame, order=None) -> DataFrame:
+    """Admit the rows (id, batch_no, key[, text]) in order of arrival, some batches at a time."""
+    spark = rows.sparkSession
+    store = Store(spark)
+    last = rows.agg(F.max("batch_no")).first()[0] or 0
+    decided = []
+    for at in range(0, last + 1, BATCHES_AT_ONCE):
+        some = rows.filter((F.coalesce("batch_no", F.lit(0)) >= at) & (F.coalesce("batch_no", F.lit(0)) < at + BATCHES_AT_ONCE))
+        decided.append(admit(store, some.drop("batch_no"), ITEM_WORDS, ITEM_SIMILARITY, order))
+    return reduce(DataFrame.unionByName, decided)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "raw_items").select(F.col("item_id").alias("id"), F.col("batch_no") - 1, key("raw_hash").alias("key"), joined_text(ITEM_TEXT).alias("text")).toDF("id", "batch_no", "key", "text")
+    events = table(spark, sf_dir, "cyber_events").select(F.col("event_row").alias("id"), F.col("batch_no") - 1, key("id").alias("e"), key("fingerprint").alias("f")).toDF("id", "batch_no", "e", "f")
+    events = events.filter("f is not null and e is not null").select("id", "batch_no", F.concat_ws("\x1f", "e", "f").alias("key"))
+    found = [("raw_items", _replay(items, shared_order(items, ITEM_WORDS))), ("cyber_events", _replay(events))]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("tbl"), F.col("kept").alias("kept_id"), F.col("id").alias("dup_id")) for name, d in found])
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
