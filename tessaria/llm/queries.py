@@ -11,6 +11,7 @@ from tessaria.llm.components import consolidate
 from tessaria.llm.encode import encode_corpus
 from tessaria.llm.history import Store, admit
 from tessaria.llm.leaks import find_leaks
+from tessaria.llm.mainbody import main_body
 from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates, shared_order
 from tessaria.runtime import key, table
 
@@ -27,6 +28,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("articles", "article_id", "title", "article_text"), ("crawl_records", "record_id", "article_title", "extracted_text")]
+    pages = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(i).alias("row_id"), F.col(n).alias("title"), F.col(x).alias("text")) for t, i, n, x in parts]
+    return main_body(reduce(DataFrame.unionByName, pages))
+
+
 #: What the statement of problems 4 and 6 asks for: runs of three words, similarity 0.7.
 ITEM_TEXT, ITEM_WORDS, ITEM_SIMILARITY = ["title", "summary", "content"], 3, 0.7
 
@@ -60,7 +67,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("tbl"), F.col("kept").alias("kept_id"), F.col("id").alias("dup_id")) for name, d in found])
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
