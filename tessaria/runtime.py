@@ -8,6 +8,8 @@ laptop) a temporary folder is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -44,10 +46,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside are deleted when the outermost result has been carried over.
+
+    The tables of a block go when the *next* block ends or the application does, so that what a block returns
+    may still be read once right after it.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        done = _SCRATCH.pop()
+        for path in _DONE.pop(spark.sparkContext.applicationId, []):
+            delete_path(spark, path)
+        _DONE[spark.sparkContext.applicationId] = done
+
+
+_DONE: dict[str, list[str]] = {}
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished work now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, already materialised, as a broadcast side if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder made by :func:`fresh_path` once nothing will read it again."""
     jvm = spark.sparkContext._jvm
