@@ -13,6 +13,7 @@ from tessaria.llm.history import Store, admit
 from tessaria.llm.leaks import find_leaks
 from tessaria.llm.mainbody import main_body
 from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates, shared_order
+from tessaria.llm.subjects import subject_areas
 from tessaria.runtime import key, table
 
 
@@ -67,7 +68,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("tbl"), F.col("kept").alias("kept_id"), F.col("id").alias("dup_id")) for name, d in found])
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+
+
+QUERIES = {"p9_found": p9_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p1_found": p1_found, "p7_ids": p7_ids}
 
 _BLANKS = " || ".join(["' '", *(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))])
 
