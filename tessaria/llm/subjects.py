@@ -2,8 +2,8 @@
 
 1. Seeds. From a bounded sample of labelled documents (``LABELLED``, a parameter), words that documents of a subject
    hold far more often than others are found; their association is the logarithm of the lift.
-2. Vocabulary. Over all documents, words that keep company with seed words in sentences, and hardly occur
-   elsewhere, join them: the vocabulary has at most ``VOCABULARY`` words.
+2. Vocabulary. Over all documents, words that mostly occur in sentences whose other words speak for one subject make
+   up the vocabulary of at most ``VOCABULARY`` words; seeds that don't are dropped, others join. Twice.
 3. Embedding. The vocabulary words of every sentence of every document are written as small numbers. From their
    weighted co-occurrence over all sentences, a truncated SVD gives each word a vector; a sentence is the sum of
    its words' vectors.
@@ -38,9 +38,13 @@ SUBJECTS = ("software", "law", "health", "finance", "energy", "sport", "science"
 #: Bounds: labelled documents used as seeds, words of the vocabulary, languages with centroids of their own.
 LABELLED, VOCABULARY, LANGUAGES = 50_000, 2048, 8
 #: Dimensions of the embedding and rounds of refinement.
-RANK, ROUNDS = 96, 3
+RANK, ROUNDS = 64, 3
 #: A word is a seed from this lift and this excess in standard deviations.
-LIFT, EXCESS = 2.0, 4.5
+LIFT, EXCESS = 2.0, 2.5
+#: A word belongs to the vocabulary from this share and number of sentences in the company of one subject's words; rounds.
+PURE, COMPANY, GROWTH = 0.5, 3, 2
+#: Weight of the labels' word associations beside the latent space.
+LABEL_SHARE = 1.0
 #: Cosine, summed association and distinct vocabulary words from which a sentence is about a subject (one word alone
 #: is no evidence), and sentences that make a subject.
 NEAR, MASS, WORDS, SENTENCES = 0.15, 1.0, 2, 2
@@ -134,7 +138,7 @@ def find_seeds(documents: DataFrame, labels: DataFrame) -> Seeds:
     excess = [(F.coalesce(F.col("m")[i], F.lit(0)) - seen * share[i]) / F.sqrt(seen * share[i] + 1e-9) for i in range(len(SUBJECTS))]
     lift = [F.coalesce(F.col("m")[i], F.lit(0)) / (seen * share[i] + 1e-9) for i in range(len(SUBJECTS))]
     best = F.greatest(*[F.when(li >= LIFT, ex).otherwise(0.0) for li, ex in zip(lift, excess, strict=True)])
-    chosen = materialize(table.withColumn("score", best).filter((F.col("score") >= EXCESS) & (seen >= 4)).orderBy(F.desc("score"), "word").limit(VOCABULARY // 2).select("word", "m"), "chosen")
+    chosen = materialize(table.withColumn("score", best).filter((F.col("score") >= EXCESS) & (seen >= 2)).orderBy(F.desc("score"), "word").limit(VOCABULARY // 2).select("word", "m"), "chosen")
     rows = chosen.collect()  # at most VOCABULARY / 2
     langs = counts.join(F.broadcast(chosen.select("word")), "word").filter("grp >= 0").collect()  # times the groups
     words = np.array(sorted(r.word for r in rows), dtype=np.int64).view(np.uint64)
@@ -162,22 +166,31 @@ def _find(words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _company(seeds):
-    """Words of sentences beside seed words: counts by the sentence's group, and by -1 for all sentences."""
+    """Words by the company they keep: sentences with the word, by the group that the *other* words speak for, -1 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value
+        weight = s.weight.astype(np.float32)
         for batch in batches:
             for _, w, sentence in _texts(batch, 0):
                 h = w.hashes()
                 if not len(h):
                     continue
+                order = np.lexsort((h, sentence))
+                h, sentence = h[order], sentence[order]
+                keep = np.append(True, (h[1:] != h[:-1]) | (sentence[1:] != sentence[:-1]))
+                h, sentence = h[keep], sentence[keep]
                 k, hit = _find(s.words, h)
-                n = int(sentence[-1]) + 1
-                score = np.zeros((n, s.weight.shape[1]), dtype=np.float32)
-                np.add.at(score, sentence[hit], s.weight[k[hit]].astype(np.float32))
-                top = score.argmax(axis=1)
-                about = score.max(axis=1) >= MASS
-                group = np.where(about, top, -1)[sentence]
+                heard, inverse = np.unique(sentence[hit], return_inverse=True)
+                score = np.zeros((len(heard), weight.shape[1]), dtype=np.float32)
+                np.add.at(score, inverse, weight[k[hit]])
+                at = np.minimum(np.searchsorted(heard, sentence), max(0, len(heard) - 1))
+                near = np.flatnonzero(heard[at] == sentence) if len(heard) else np.empty(0, int)
+                rest = score[at[near]]
+                own = hit[near]
+                rest[own] -= weight[k[near][own]]
+                group = np.full(len(h), -1)
+                group[near] = np.where(rest.max(axis=1) >= MASS, rest.argmax(axis=1), -1) if len(near) else -1
                 order = np.lexsort((group, h))
                 hh, g = h[order], group[order]
                 new = np.flatnonzero(np.append(True, (hh[1:] != hh[:-1]) | (g[1:] != g[:-1])))
@@ -187,22 +200,23 @@ def _company(seeds):
 
 
 def grow_vocabulary(documents: DataFrame, seeds: Seeds) -> Seeds:
-    """Seeds and the words whose occurrences over all documents lie in sentences of one subject."""
+    """The words, seeds or not, whose occurrences over all documents lie in the company of one subject's words."""
     shared = documents.sparkSession.sparkContext.broadcast(seeds)
     counts = documents.select("text").mapInArrow(_company(shared), "word long, grp int, n long").groupBy("word", "grp").agg(F.sum("n").alias("n"))
     subject = F.floor(F.col("grp") / LANGUAGES).cast("int")
-    inside = counts.filter("grp >= 0").groupBy("word", subject.alias("s")).agg(F.sum("n").alias("n"), F.max_by("grp", "n").alias("grp"))
-    all_of = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    top = inside.groupBy("word").agg(F.max(F.struct("n", "grp")).alias("b")).join(all_of, "word")
-    pure = top.filter((F.col("b.n") >= 0.6 * F.col("total")) & (F.col("b.n") >= 4)).orderBy(F.desc("b.n"), "word").limit(VOCABULARY)
-    rows = [r for r in pure.select("word", "b.grp", (F.col("b.n") / F.col("total")).alias("share")).collect()]  # at most VOCABULARY
-    known = set(seeds.words.view(np.int64).tolist())
-    more = [r for r in rows if r.word not in known][: VOCABULARY - len(known)]
-    words = np.concatenate([seeds.words, np.array([r.word for r in more], dtype=np.int64).view(np.uint64)])
+    by_subject = counts.groupBy("word", subject.alias("s")).agg(F.sum("n").alias("n"), F.max_by("grp", "n").alias("grp"))
+    top = by_subject.groupBy("word").agg(F.sum("n").alias("total"), F.max(F.when(F.col("s") >= 0, F.struct("n", "grp"))).alias("b"))
+    pure = top.filter((F.col("b.n") >= PURE * F.col("total")) & (F.col("b.n") >= COMPANY)).orderBy(F.desc("b.n"), "word").limit(VOCABULARY)
+    rows = pure.select("word", "b.grp", (F.col("b.n") / F.col("total")).alias("share")).collect()  # at most VOCABULARY
+    words = np.array([r.word for r in rows], dtype=np.int64).view(np.uint64)
     weight = np.zeros((len(words), seeds.weight.shape[1]))
-    weight[: len(seeds.words)] = seeds.weight
-    for i, r in enumerate(more, len(seeds.words)):
-        weight[i, r.grp] = 1.2 * r.share
+    old, known = _find(seeds.words, words)
+    for i, r in enumerate(rows):
+        s, own = r.grp // LANGUAGES, seeds.weight[old[i]].reshape(len(SUBJECTS), LANGUAGES)
+        if known[i] and own.sum(axis=1).argmax() == s:
+            weight[i] = own.ravel()
+        else:
+            weight[i, r.grp] = 1.5 * r.share
     order = np.argsort(words)
     return Seeds(words[order], weight[order])
 
@@ -285,13 +299,15 @@ def embed(encoded: DataFrame, vocabulary: Seeds) -> Model:
     sums = encoded.mapInArrow(_pairs, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in sums.toLocalIterator():  # at most VOCABULARY squared, in parts
         gram[r.i, r.j] = gram[r.j, r.i] = r.n
-    often = np.diag(gram).copy()
-    weight = np.log1p(often.sum() / np.maximum(often, 1)) * (often > 0)
+    degree = gram.sum(axis=1)  # frequent company weighs a word down, so that small languages and subjects count as much
+    weight = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1)), 0)
     values, vectors = np.linalg.eigh(gram * weight[:, None] * weight[None, :])
     top = np.argsort(-values)[:RANK]
-    vector = vectors[:, top] * weight[:, None]
+    by_subject = vocabulary.weight.reshape(n, len(SUBJECTS), LANGUAGES).sum(axis=2)
+    # a word's place in the latent space, and beside it what the labels say of it
+    vector = np.concatenate([_unit(vectors[:, top] * np.sqrt(np.maximum(values[top], 0))), LABEL_SHARE * _unit(by_subject)], axis=1)
     seeds = vocabulary.weight.T @ vector
-    return Model(vector.astype(np.float32), vocabulary.weight.reshape(n, len(SUBJECTS), LANGUAGES).sum(axis=2).max(axis=1), _unit(seeds).astype(np.float32))
+    return Model(vector.astype(np.float32), by_subject.max(axis=1), _unit(seeds).astype(np.float32))
 
 
 def _judge(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -341,7 +357,11 @@ def subject_areas(documents: DataFrame, labels: DataFrame) -> DataFrame:
     seeds = find_seeds(docs, labels)
     if not len(seeds.words):
         return spark.createDataFrame([], "doc_id long, subject string")
-    vocabulary = grow_vocabulary(docs, seeds)
+    vocabulary = seeds
+    for _ in range(GROWTH):
+        vocabulary = grow_vocabulary(docs, vocabulary)
+    if not len(vocabulary.words):
+        return spark.createDataFrame([], "doc_id long, subject string")
     share = spark.sparkContext.broadcast
     encoded = materialize(docs.select("doc_id", "text").mapInArrow(_encode(share(vocabulary)), ENCODED), "encoded")
     model = embed(encoded, vocabulary)
