@@ -99,13 +99,25 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[same]), t[:n][same]
 
 
+#: Bits of a shingle's hash that are kept where a text's number shares the word with it, and texts of a part.
+HASH_BITS = 52
+PART_TEXTS = 1 << (64 - HASH_BITS)
+_LOW = np.uint64((1 << HASH_BITS) - 1)
+_CUT = np.uint64(64 - HASH_BITS)
+_UP = np.uint64(HASH_BITS)
+
+
+def packed(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Text number (below PART_TEXTS) and the upper bits of the hash in one word, which sorts by both."""
+    return (t.astype(np.uint64) << _UP) | (h >> _CUT)
+
+
 def distinct_sorted(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, hash), ordered by text and hash."""
-    order = np.lexsort((h, t))
-    h, t = h[order], t[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    return h[keep], t[keep]
+    """Distinct (hash, text), ordered by text and hash; of the hashes the upper HASH_BITS count."""
+    k = np.sort(packed(h, t))
+    if len(k):
+        k = k[np.append(True, k[1:] != k[:-1])]
+    return (k & _LOW) << _CUT, (k >> _UP).astype(np.int64)
 
 
 def parts(sizes: np.ndarray, most: int = PART):
@@ -113,7 +125,7 @@ def parts(sizes: np.ndarray, most: int = PART):
     a, total = 0, 0
     for i, s in enumerate(sizes.tolist()):
         total += s
-        if total >= most:
+        if total >= most or i + 1 - a >= PART_TEXTS // 2:
             yield a, i + 1
             a, total = i + 1, 0
     if a < len(sizes):
