@@ -20,7 +20,6 @@ documents get equal subjects; texts of any length are used whole; extra columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,13 +48,17 @@ LABEL_SHARE = 1.0
 #: is no evidence), and sentences that make a subject.
 NEAR, MASS, WORDS, SENTENCES = 0.15, 1.0, 2, 2
 
-# A full stop after an ordinal day ends no sentence (German dates).
-_ORDINAL = re.compile(r"(?<=\d)\.(?= (?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)")
+#: Bits of a word's hash that count here; they share a word with the number of a sentence or of a group.
+_BITS = np.uint64(48)
+_OFF = np.uint64(16)
 
 
 def _sentences(texts: list[str]) -> tuple[Words, np.ndarray]:
-    """Words of the texts and the number of the sentence (over all texts) that each word is in."""
-    w = Words([_ORDINAL.sub("", t) if ". " in t else t for t in texts])
+    """Words of the texts and the number of the sentence (over all texts) that each word is in.
+
+    A line end, or a full stop, question or exclamation mark before white space, ends a sentence.
+    """
+    w = Words(texts)
     d = w.data
     stop = (d == 46) | (d == 33) | (d == 63)
     nxt = np.append(d[1:], np.uint8(10))
@@ -70,6 +73,30 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield part, *_sentences([x or "" for x in part.column(column).to_pylist()])
 
 
+def _hashes(w: Words) -> np.ndarray:
+    return w.hashes() >> _OFF
+
+
+def _distinct(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (word, number of sentence or text), ordered by the number; 65536 numbers at a time."""
+    out = []
+    step = 1 << 16
+    for a in range(0, int(of[-1]) + 1 if len(of) else 0, step):
+        lo, hi = np.searchsorted(of, (a, a + step))
+        k = np.sort((of[lo:hi] - a).astype(np.uint64) << _BITS | h[lo:hi])
+        k = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+        out.append((k & np.uint64((1 << 48) - 1), (k >> _BITS).astype(np.int64) + a))
+    if not out:
+        return h, of
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _counted(h: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """Numbers of (word, group) pairs; groups are -1 to 254."""
+    k, n = np.unique(h << np.uint64(8) | (group + 1).astype(np.uint64), return_counts=True)
+    return _rows(k >> np.uint64(8), (k & np.uint64(255)).astype(np.int64) - 1, n)
+
+
 def _rows(word: np.ndarray, group: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "grp": pa.array(group, pa.int32()), "n": pa.array(n, pa.int64())})
 
@@ -82,22 +109,15 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part, w, _ in _texts(batch, 0):
             own = groups[at : at + part.num_rows]
             at += part.num_rows
-            h, t = w.hashes(), w.text
-            order = np.lexsort((t, h))
-            h, t = h[order], t[order]
-            keep = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])) if len(h) else np.empty(0, bool)
-            h, t = h[keep], t[keep]
+            h, t = _distinct(_hashes(w), w.text)
             size = np.array([len(g) + 1 for g in own])
             flat = np.concatenate([np.array([-1, *g]) for g in own]) if own else np.empty(0, int)
             first = np.cumsum(size) - size
             many = size[t]
             run = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             g = flat[np.repeat(first[t], many) + run]
-            hh = np.repeat(h, many)
-            order = np.lexsort((g, hh))
-            hh, g = hh[order], g[order]
-            new = np.flatnonzero(np.append(True, (hh[1:] != hh[:-1]) | (g[1:] != g[:-1]))) if len(hh) else np.empty(0, int)
-            yield _rows(hh[new], g[new], np.diff(np.append(new, len(hh))))
+            if len(g):
+                yield _counted(np.repeat(h, many), g)
 
 
 @dataclass
@@ -173,13 +193,9 @@ def _company(seeds):
         weight = s.weight.astype(np.float32)
         for batch in batches:
             for _, w, sentence in _texts(batch, 0):
-                h = w.hashes()
-                if not len(h):
+                if not len(w.start):
                     continue
-                order = np.lexsort((h, sentence))
-                h, sentence = h[order], sentence[order]
-                keep = np.append(True, (h[1:] != h[:-1]) | (sentence[1:] != sentence[:-1]))
-                h, sentence = h[keep], sentence[keep]
+                h, sentence = _distinct(_hashes(w), sentence)
                 k, hit = _find(s.words, h)
                 heard, inverse = np.unique(sentence[hit], return_inverse=True)
                 score = np.zeros((len(heard), weight.shape[1]), dtype=np.float32)
@@ -191,10 +207,7 @@ def _company(seeds):
                 rest[own] -= weight[k[near][own]]
                 group = np.full(len(h), -1)
                 group[near] = np.where(rest.max(axis=1) >= MASS, rest.argmax(axis=1), -1) if len(near) else -1
-                order = np.lexsort((group, h))
-                hh, g = h[order], group[order]
-                new = np.flatnonzero(np.append(True, (hh[1:] != hh[:-1]) | (g[1:] != g[:-1])))
-                yield _rows(hh[new], g[new], np.diff(np.append(new, len(hh))))
+                yield _counted(h, group)
 
     return run
 
@@ -229,7 +242,7 @@ def _encode(vocabulary):
         words = vocabulary.value.words
         for batch in batches:
             for part, w, sentence in _texts(batch, 1):
-                h = w.hashes()
+                h = _hashes(w)
                 k, hit = _find(words, h)
                 k, s, t = k[hit], sentence[hit], w.text[hit]
                 if not len(k):
