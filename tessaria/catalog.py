@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessaria.queries import general
+from tessaria.queries import events, general
 
-MODULES = [general]
+MODULES = [general, events]
 
 
 def queries() -> dict:
