@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaria.functions import identity, text, urls
 from tessaria.operators import indicators as ind
-from tessaria.operators import lookup, matching, state
+from tessaria.operators import evidence, lookup, matching, pages, state
 from tessaria.operators.components import components
 from tessaria.operators.timestamps import normalise_timestamps
 from tessaria.queries.general import _key
@@ -468,3 +468,57 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     fresh = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 30 minutes"), 0).otherwise(1)
     s = e.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "n").agg(F.min("ts").alias("began"), F.count("*").alias("events")).drop("n")
+
+
+# ---- pages and evidence
+
+
+@query("""
+WITH p AS (SELECT *, trim(coalesce(article_text, '')) AS t FROM articles),
+s AS (SELECT article_id, t, js_shell, 0.30 * least(1.0, length(t) / 600.0) + 0.20 * least(1.0, coalesce(paragraph_count, 0) / 4.0) + CASE WHEN article_container THEN 0.15 ELSE 0 END
+  + 0.15 * CASE WHEN visible_text_chars > 0 THEN least(1.0, length(t) / CAST(visible_text_chars AS DOUBLE)) ELSE 0.5 END + CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN 0.10 ELSE 0 END
+  + 0.10 * (1 - least(1.0, greatest(0.0, coalesce(duplicate_text_ratio, 0)))) AS v FROM p)
+SELECT article_id, round(CASE WHEN length(t) = 0 OR coalesce(js_shell, false) THEN 0.0 WHEN length(t) < 80 THEN least(v, 0.3) ELSE least(1.0, v) END, 6) AS quality FROM s""")
+def page_quality(spark: SparkSession, d: str) -> DataFrame:
+    c = [F.col(x) for x in ("article_text", "visible_text_chars", "paragraph_count", "article_container", "title", "duplicate_text_ratio", "js_shell")]
+    return table(spark, d, "articles").select("article_id", F.round(pages.extraction_quality(*c), 6).alias("quality"))
+
+
+@query(f"""
+WITH p AS (SELECT record_id, lower(coalesce(article_title, '') || chr(10) || coalesce(extracted_text, '')) AS t, length(coalesce(extracted_text, '')) AS n FROM crawl_records)
+SELECT record_id, CASE WHEN n > 1500 THEN NULL WHEN regexp_matches(t, '{pages.CAPTCHA}') THEN 'captcha' WHEN regexp_matches(t, '{pages.AUTH}') THEN 'authentication' WHEN regexp_matches(t, '{pages.BLOCKED}') THEN 'blocked' END AS kind FROM p""")
+def page_interstitials(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_records").select("record_id", pages.interstitial(F.col("article_title"), F.col("extracted_text")).alias("kind"))
+
+
+@query(f"""
+WITH e AS (SELECT {_key('id')} AS eid, {_CANON.replace('u,', 'source_url,')} AS u, source_tier, event_row FROM cyber_events WHERE source_url IS NOT NULL),
+f AS (SELECT eid, u, min({{'t': source_tier, 'r': event_row}}) AS o FROM e WHERE eid IS NOT NULL GROUP BY eid, u), r AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY o, u) AS n FROM f)
+SELECT eid, list(u ORDER BY n) AS urls FROM r WHERE n <= 4 GROUP BY eid""")
+def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "cyber_events").withColumn("eid", key("id"))
+    return evidence.ordered_sources(e, "eid", "source_url", [F.col("source_tier"), F.col("event_row")])
+
+
+@query(f"""
+WITH e AS (SELECT {_key('id')} AS eid, event_row AS o, unnest(range(1, len(member_hashes) + 1)) AS p, member_hashes FROM cyber_events), v AS (SELECT eid, o, p, member_hashes[p] AS v FROM e WHERE eid IS NOT NULL),
+f AS (SELECT eid, lower(v) AS f, min({{'o': o, 'p': p, 'v': v}}) AS a FROM v WHERE v IS NOT NULL AND v <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY a) AS n FROM f)
+SELECT eid, list(a.v ORDER BY n) AS member_hashes FROM r WHERE n <= 40 GROUP BY eid""")
+def ordered_members(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "cyber_events").withColumn("eid", key("id"))
+    return evidence.ordered_union(e, "eid", "member_hashes", "event_row")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '(?i)\\bCVE-[0-9]{4}-[0-9]{4,7}\\b'), x -> upper(x))) AS cve FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, cve FROM m WHERE cve NOT IN (SELECT upper(trim(id)) FROM nvd_cves WHERE id IS NOT NULL)""")
+def ungrounded_cves(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents").select("doc_id", F.explode(identity.found_ids(identity.CVE, F.col("text"))).alias("cve"))
+    return evidence.ungrounded(m, table(spark, d, "nvd_cves").select(F.upper(F.trim("id")).alias("cve")), ["cve"]).select("doc_id", "cve")
+
+
+@query("SELECT update_id, event_id, epoch_us(occurred_at) AS at_us FROM event_updates ORDER BY occurred_at DESC NULLS LAST, update_id LIMIT 25")
+def latest_updates(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    u = table(spark, d, "event_updates").orderBy(F.desc_nulls_last("occurred_at"), "update_id").limit(25)
+    return u.select("update_id", "event_id", F.unix_micros("occurred_at").alias("at_us"))

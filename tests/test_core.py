@@ -15,6 +15,7 @@ from tessaria.functions.identity import CVE, found_ids, hash_parts, unique_text
 from tessaria.operators import lookup, matching, state
 from tessaria.operators.components import components
 from tessaria.operators.indicators import indicators
+from tessaria.operators.pages import extract_pages
 from tessaria.sources import readers
 from tessaria.streaming import pipelines
 
@@ -190,3 +191,16 @@ def test_stream_catalog(spark, tmp_path):
     cat = spark.createDataFrame([(1, "CVE-1", "P")], "row_id int, cveid string, product string")
     s = stream(spark, tmp_path, "cve string", [[("cve-1",), ("CVE-2",)]])
     assert sorted(run_stream(spark, pipelines.with_catalog(s, cat), "listed", tmp_path)) == [("CVE-2", None), ("cve-1", "P")]
+
+
+HTML = """<html><head><title>Fallback | Site</title><link rel="canonical" href="https://e.example/a"></head><body><nav><p>Home and more links</p></nav>
+<article><h1>Main title</h1><p>First paragraph of the text.</p><ul><li>An item of the list</li></ul><script>x()</script><p hidden>secret</p><p>Second<br>paragraph &amp; end.</p></article>
+<footer>Copyright of the site</footer></body></html>"""
+
+
+def test_extract_pages(spark):
+    df = spark.createDataFrame([(1, HTML), (2, None), (3, ""), (4, "<p>unclosed <b>text here")], "id long, html string")
+    got = {r.id: r for r in extract_pages(df, "id", "html").collect()}
+    assert got[1].title == "Main title" and got[1].canonical_url == "https://e.example/a" and got[1].article_container and got[1].paragraph_count == 3
+    assert got[1].article_text == "Main title\n\nFirst paragraph of the text.\n\n- An item of the list\n\nSecond paragraph & end."
+    assert got[2].article_text == got[3].article_text == "" and got[4].article_text == "unclosed text here"
