@@ -45,7 +45,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Arrival batches admitted at once when a whole table is replayed; the result doesn't depend on it.
-BATCHES_AT_ONCE = 8
+BATCHES_AT_ONCE = 12
 
 
 def _replay(rows: DataFrame, order=None) -> DataFrame:
