@@ -202,11 +202,12 @@ def _company(seeds):
                 np.add.at(score, inverse, weight[k[hit]])
                 at = np.minimum(np.searchsorted(heard, sentence), max(0, len(heard) - 1))
                 near = np.flatnonzero(heard[at] == sentence) if len(heard) else np.empty(0, int)
-                rest = score[at[near]]
-                own = hit[near]
-                rest[own] -= weight[k[near][own]]
                 group = np.full(len(h), -1)
-                group[near] = np.where(rest.max(axis=1) >= MASS, rest.argmax(axis=1), -1) if len(near) else -1
+                if len(near):
+                    group[near] = np.where(score.max(axis=1) >= MASS, score.argmax(axis=1), -1)[at[near]]
+                    own = near[hit[near]]  # a word doesn't speak for itself
+                    rest = score[at[own]] - weight[k[own]]
+                    group[own] = np.where(rest.max(axis=1) >= MASS, rest.argmax(axis=1), -1)
                 yield _counted(h, group)
 
     return run
