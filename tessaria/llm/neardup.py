@@ -7,7 +7,7 @@
    order, and the bottom-k sketch of its shingles. Records with equal shingle sets form one class.
 3. Inverted lists of the retained values generate overlaps between class representatives. Each posting
    carries the sketch, so a pair is judged by the union sketch where it arises and most never leave the task. Lists
-   over ``LIST`` postings are split: first by a second retained value, then into blocks that meet pairwise.
+   over ``LIST`` postings are split into blocks that all meet pairwise.
 4. Pairs whose estimate is within reach are joined with their texts and verified by exact Jaccard over the
    52-bit hashes of their shingles.
 
@@ -328,24 +328,21 @@ def _pair_lists(threshold: float):
     return run
 
 
-def _lists(base: DataFrame, values: DataFrame) -> DataFrame:
+def _lists(base: DataFrame) -> DataFrame:
     """Postings (key, id, n, sketch, old) -> (key, id, n, sketch, old, block), lists of at most about LIST each.
 
-    ``values`` has all (id, key) of the records concerned; it is read only if a list is too long.
+    A longer list is dealt into blocks, and every two of its blocks meet in a list of their own: each pair of its postings
+    stays together once.
     """
-    hot = materialize(base.groupBy("key").count().filter(F.col("count") > LIST), "hot")
+    hot = materialize(base.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "hot")
     plain = base.select("key", "id", "n", "sketch", "old", F.lit(-1).alias("block"))
     if hot.isEmpty():
         return plain
+    hot = checked_broadcast(hot, NAMED)
     plain = plain.join(hot.select("key"), "key", "left_anti")
-    held = base.join(hot.select("key"), "key", "left_semi")
-    both = held.join(values.select("id", F.col("key").alias("other")), "id").filter((F.col("other") != F.col("key")) | (F.col("n") <= SHORT))
-    both = both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "sketch", "old").dropDuplicates(["key", "id"])
-    still = both.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
-    split = both.join(still, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    meets = F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.withColumn("meets", meets).select(
-        F.when(F.col("block") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "meets"), F.greatest("block", "meets"))).alias("key"),
+    split = base.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    split = split.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("key", F.least("block", "meets"), F.greatest("block", "meets")).alias("key"),
         "id", "n", "sketch", "old", F.when(F.col("block") == F.col("meets"), -1).otherwise(F.col("block")).alias("block"),
     )
     return plain.unionByName(split)
@@ -376,9 +373,9 @@ def postings(docs: DataFrame, old: bool = False) -> DataFrame:
     return docs.select("id", "n", "sketch", F.explode("vals").alias("key"), F.lit(old).alias("old"))
 
 
-def similar_pairs(base: DataFrame, values: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+def similar_pairs(base: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b) with a < b: pairs of the posted records, not both old, that are at least ``threshold`` alike."""
-    lists = _lists(base, values).repartition("key").sortWithinPartitions("key")
+    lists = _lists(base).repartition("key").sortWithinPartitions("key")
     near = materialize(lists.mapInArrow(_pair_lists(threshold), "a long, b long").distinct(), "near")
     named = checked_broadcast(materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "named"), NAMED)
     wanted = texts.select("id", "text").join(named, "id", "left_semi")
@@ -398,7 +395,7 @@ def near_duplicates(df: DataFrame, id_column: str, columns: list[str], size: int
     copied = docs.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     members = materialize(docs.join(copied, equal).select("id", "rep"), "members")
     single = docs.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    return similar_pairs(postings(single), docs.select("id", F.explode("vals").alias("key")), texts, size, threshold), members
+    return similar_pairs(postings(single), texts, size, threshold), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:

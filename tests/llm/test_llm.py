@@ -134,6 +134,21 @@ def test_near_duplicates(spark, monkeypatch, most, k, t):
     assert got == similar(texts, k, t)
 
 
+def found_near(spark, texts):
+    pairs, members = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "item_id long, title string"), "item_id", ["title"], 3, 0.7)
+    return {tuple(r) for r in neardup.all_pairs(pairs, members, "x", "y").collect()}
+
+
+def test_near_duplicates_hot_list(spark, monkeypatch):
+    """Pairs whose only common retained value has a list over LIST: a text, and longer ones that hold it whole."""
+    monkeypatch.setattr(neardup, "LIST", 20)
+    monkeypatch.setattr(neardup, "RARE", 4)
+    base = " ".join(f"v{i}" for i in range(16))
+    texts = [base, *(f"{base} " + " ".join(f"own{i}x{j}" for j in range(6)) for i in range(30))]
+    want = similar(texts, 3, 0.7)
+    assert len(want) == 30 and found_near(spark, texts) == want
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "item_id long, title string")
     pairs, members = neardup.near_duplicates(df, "item_id", ["title"])
