@@ -1,12 +1,12 @@
 """Deduplicating new batches against all history.
 
-A store in the shared folder holds, of the accepted rows only, their exact keys, winnowed content fingerprints,
-sketches and texts, and partitioned Bloom filters over keys and fingerprints. A batch goes through these steps:
+A store in the shared folder holds, of the accepted rows only, their exact keys, content fingerprints (the prefixes of
+their shingles, see :mod:`tessaria.llm.neardup`), sketches and texts, and partitioned Bloom filters over keys and fingerprints. A batch goes through these steps:
 
 1. Its fingerprints and keys are prescreened: they travel to their filter's partition behind the filter
    itself, and only possible members go on. Nothing of the history is read for the others.
 2. Positives are looked up in the store. Shared fingerprints bring up pairs of a new row with an accepted one or
-   with another new row; shared coverage is estimated from the sketches and verified by exact Jaccard.
+   with another new row; shared coverage is judged by the sketches and verified by exact Jaccard.
 3. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id
    and accepted unless they repeat an accepted one (a pass over the rows that share anything; split by connected
    component where it is large).
@@ -33,8 +33,6 @@ from tessaria.llm.neardup import postings, similar_pairs, sketches
 from tessaria.llm.words import mix
 from tessaria.runtime import free_shuffles, materialize, checked_broadcast, scratch, fresh_path
 
-#: Runs of words that one winnowed fingerprint covers at most.
-WINDOW = 8
 #: Partitions of the Bloom filters (the default of a store) and bits of each; more entries cost more lookups, never a wrong
 #: result.
 FILTER_PARTS, FILTER_BITS = 32, 1 << 21
@@ -90,7 +88,7 @@ class Store:
     TABLES = {
         "keys": "v long, key string, id long",
         "fingerprints": "v long, id long",
-        "docs": "id long, n int, sketch binary",
+        "docs": "id long, n int, sketch long, more long",
         "texts": "id long, text string",
         "filters": "kind string, part int, bits binary",
     }
@@ -189,8 +187,8 @@ def admit(store: Store, batch: DataFrame, size: int = 5, threshold: float = 0.8,
     """Check a batch (id, key[, text]) against the store and itself; append what is accepted to the store.
 
     Result: (id, kept) of the rows that repeat an accepted row, with the smallest accepted id they repeat. All ids
-    of a batch are greater than those of the batches before. ``order`` is the run order of the store
-    (:func:`tessaria.llm.neardup.shared_order`); without it, only keys are compared.
+    of a batch are greater than those of the batches before. ``order`` is the shingle order of the store
+    (:func:`tessaria.llm.neardup.shared_order`), always the same; without it, only keys are compared.
     """
     with scratch(store.spark):  # all but the result goes when the batch is done
         decided = _admit(store, batch.filter("id is not null"), size, threshold, order)
@@ -206,17 +204,17 @@ def _admit(store: Store, rows: DataFrame, size: int, threshold: float, order) ->
     repeats = keyed.join(checked_broadcast(materialize(known, "known"), LOOKUP_ROWS // 4), ["v", "key"]).select("id", "kept")
     lines = keyed.select("id", F.concat(F.lit("k"), "key").alias("token"), F.lit(True).alias("own"))
     if order is not None:
-        docs = materialize(sketches(rows, size, threshold, order, WINDOW), "sketches")
+        docs = materialize(sketches(rows, size, threshold, order), "sketches")
         member = docs.select("id", F.struct("sig1", "sig2", "n").alias("sig"))
         copied = member.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("sig", "rep")
         copies = materialize(member.join(copied, "sig").select("id", "rep").filter("id <> rep"), "copies")
         own = docs.join(checked_broadcast(copies.select("id"), LOOKUP_ROWS), "id", "left_anti")
         asked = store.positives("fingerprint", own.select(F.explode("vals").alias("v")))
         hits = store.read("fingerprints").join(asked, "v", "left_semi").join(store.read("docs"), "id")
-        hits = hits.select("id", "n", "sketch", F.col("v").alias("key"), F.lit(True).alias("old"))
+        hits = hits.select("id", "n", "sketch", "more", F.col("v").alias("key"), F.lit(True).alias("old"))
         base = materialize(postings(own).unionByName(hits), "postings")
         texts = store.read("texts").unionByName(rows.select("id", "text"))
-        pairs = materialize(similar_pairs(base, texts, size, threshold), "pairs")
+        pairs = materialize(similar_pairs(base, base.select("key"), texts, size, threshold), "pairs")
         new = docs.select(F.col("id").alias("other"))
         both = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
         inside = materialize(both.join(new.withColumnRenamed("other", "rep"), "rep", "left_semi").join(new.withColumn("new", F.lit(True)), "other", "left"), "sides")
@@ -241,7 +239,7 @@ def _admit(store: Store, rows: DataFrame, size: int, threshold: float, order) ->
     store.extend_filter("key", keys)
     if order is not None:
         fresh = docs.join(gone, "id", "left_anti")
-        store.append("docs", fresh.select("id", "n", "sketch"))
+        store.append("docs", fresh.select("id", "n", "sketch", "more"))
         store.append("texts", accepted.select("id", "text"))
         entries = fresh.select(F.explode("vals").alias("v"), "id")
         store.append("fingerprints", entries)

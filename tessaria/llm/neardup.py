@@ -1,20 +1,18 @@
-"""Near-duplicate records with small edits: bottom-k sketches, inverted lists, exact Jaccard.
+"""Near-duplicate records with small edits: prefixes of rare shingles, inverted lists, short sketches, exact Jaccard.
 
-1. One pass counts, in hashed cells of a fixed number, in how many records runs of words occur. The counts
-   only order the runs: rare classes first, then by hash. Any fixed order gives right results; this one keeps
+1. One pass counts, in hashed cells of a fixed number, in how many records shingles occur. The counts
+   only order the shingles: rare classes first, then by hash. Any fixed order gives right results; this one keeps
    boilerplate, which a third of all records may share, out of the inverted lists.
-2. A second pass writes per record a signature of its shingle set, the bottom-k values of its runs under that
-   order, and the bottom-k sketch of its shingles. Records with equal shingle sets form one class.
-3. Inverted lists of the retained values generate overlaps between class representatives. Each posting
-   carries the sketch, so a pair is judged by the union sketch where it arises and most never leave the task. Lists
-   over ``LIST`` postings are split into blocks that all meet pairwise.
-4. Pairs whose estimate is within reach are joined with their texts and verified by exact Jaccard over the
+2. A second pass writes per record a signature of its shingle set, a sketch of 128 bits, and the prefix of its shingles
+   under that order. Records with equal shingle sets form one class.
+3. Inverted lists of the prefixes bring class representatives together. Each posting carries the sketch, so a pair is
+   judged where it arises and most never leave the task. Lists over ``LIST`` postings are split into blocks that all
+   meet pairwise.
+4. Pairs whose sketches are within reach are joined with their texts and verified by exact Jaccard over the
    52-bit hashes of their shingles.
 
-Retained values: records of over ``SHORT`` shingles are compared by runs of ``RUN`` words, of which two records of
-the required similarity share many; records of up to ``3 * SHORT // 2`` shingles keep the prefix of their shingles that
-two similar records must share a value of (prefix filtering). The two ranges overlap by more than similar
-sizes can differ.
+Prefixes: records of similarity t share at least t * n shingles of each one's n. So the first n - ceil(t * n) + 1 of both
+hold a common one, the smallest they share, whatever the order, the lengths and the places of the edits (prefix filtering).
 
 Defined results: null texts count as empty; texts without a shingle match nothing; rows with equal texts pair
 with similarity 1; an empty table gives an empty result; extra columns are ignored; texts of any length are used whole.
@@ -24,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +38,10 @@ CELLS = 1 << 22
 CHUNK = 1 << 14
 #: Runs of up to this many records are one class; above, each doubling is one.
 RARE = 32
-#: Words of a run, retained values, sketch size, and shingles of a short record.
-RUN, KEEP, SKETCH, SHORT = 6, 12, 16, 16
-#: Further values of records whose rarest ones stand for less than half of their runs.
-EXTRA = 4
-#: Share of a record's winnowed fingerprints that is kept, the rarest first: boilerplate comes last.
-RAREST = 0.65
+#: Shingles of a record up to which its sketch is of parities.
+SHORT = 64
+#: Chance that the sketches of two longer records at the threshold are taken for too different.
+CHANCE = 1e-6
 #: Postings that one inverted list holds at most before it is split.
 LIST = 1000
 #: Ids of records to verify up to which they are sent to the texts' files instead of shuffling all texts.
@@ -52,27 +49,12 @@ NAMED = 400_000
 #: Pairs judged at once.
 PAIRS = 400_000
 
-_PAD = np.uint32(0xFFFFFFFF)
-
-
 def joined_text(columns: list[str]) -> Column:
     """The columns joined by blanks, nulls as empty."""
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def _values(words: Words, size: int, h: np.ndarray, t: np.ndarray, n: np.ndarray, long_too: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """All values a record may retain: runs of RUN words of longer ones, tagged shingles of shorter ones."""
-    here = (n <= 3 * SHORT // 2)[t]
-    v, vt = mix(h[here] ^ np.uint64(size)), t[here]
-    if long_too:
-        r, rt = shingles(words, RUN)
-        long = (n > SHORT)[rt]
-        r, rt = distinct_sorted(r[long], rt[long])
-        v, vt = np.concatenate([r, v]), np.concatenate([rt, vt])
-    return v, vt
-
-
-def _run_ranks(r: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _ranks(r: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[_cells(r)].astype(np.uint64) << np.uint64(56)) | (r >> np.uint64(8))
 
 
@@ -92,9 +74,8 @@ def _count(size: int):
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for _, words in _texts(batch, 0):
-                h, t = distinct_sorted(*shingles(words, size))
-                v, _ = _values(words, size, h, t, np.bincount(t, minlength=words.texts))
-                total += np.bincount(_cells(v), minlength=CELLS)
+                h, _ = distinct_sorted(*shingles(words, size))
+                total += np.bincount(_cells(mix(h ^ np.uint64(size))), minlength=CELLS)
         grid = total.reshape(-1, CHUNK)
         for i in np.flatnonzero(grid.any(axis=1)):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([grid[i].astype("<i8").tobytes()], pa.binary())})
@@ -113,7 +94,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
 
 
-def run_frequencies(texts: DataFrame, size: int) -> np.ndarray:
+def frequencies(texts: DataFrame, size: int) -> np.ndarray:
     """Class of each cell, from the counts over all records: 0 up to RARE records, then one per doubling."""
     counts = texts.mapInArrow(_count(size), "chunk int, counts binary")
     summed = counts.repartition(max(1, min(64, CELLS // CHUNK)), "chunk").mapInArrow(_add, "chunk int, counts binary")
@@ -123,25 +104,7 @@ def run_frequencies(texts: DataFrame, size: int) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(total.ravel(), 1) / RARE))).astype(np.uint8)
 
 
-def _beyond(order: np.ndarray, t: np.ndarray, classes: np.ndarray, texts: int) -> np.ndarray:
-    """The first EXTRA values above the class at which the KEEP rarest of a text end, where those are half of its values.
-
-    Two records may owe their similarity to frequent runs alone while their rare ones all differ.
-    """
-    tt, c = t[order], classes[order]
-    count = np.bincount(tt, minlength=texts)
-    start = np.cumsum(count) - count
-    last = np.minimum(KEEP, count) - 1
-    ends = np.zeros(texts, dtype=np.int64)
-    ends[count > 0] = c[(start + last)[count > 0]]
-    above = c > ends[tt]
-    many = np.bincount(tt[above], minlength=texts)
-    first = start + count - many  # ordered by class: those above come last
-    place = np.arange(len(tt)) - first[tt]
-    return order[above & (place < EXTRA) & (2 * many >= count)[tt]]
-
-
-SKETCHED = "id long, n int, sig1 long, sig2 long, sketch binary, vals array<long>"
+SKETCHED = "id long, n int, sig1 long, sig2 long, sketch long, more long, vals array<long>, common array<long>"
 
 
 def _first_per_text(order: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -151,38 +114,39 @@ def _first_per_text(order: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.nd
     return order[np.arange(len(tt)) - start[tt] < most[tt]]
 
 
-#: Bins of the short sketch that postings of fingerprints carry: a byte for the smallest shingle of each bin.
-BINS = 16
-
-
-def _bins(h: np.ndarray, t: np.ndarray, texts: int) -> np.ndarray:
-    """One-permutation sketch of each text's distinct shingles, given in order; 0 is an empty bin."""
-    out = np.zeros((texts, BINS), dtype=np.uint8)
-    b = (h >> np.uint64(60)).astype(np.int64)
+def _least_bits(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of hashes ordered by text and value: in the place of its bin, a bit of the smallest of each bin of a text, else 0."""
+    b = h >> np.uint64(58)
     first = np.ones(len(h), dtype=bool)
     first[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
-    out[t[first], b[first]] = (h[first] >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
-    return out
-
-
-def _winnow(rank: np.ndarray, t: np.ndarray, width: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest rank of each window of ``width`` consecutive runs of a text (of all runs of a shorter text)."""
-    if not len(rank):
-        return rank, t
-    low, span = rank.copy(), 1
-    while span < width:
-        step = min(span, width - span)
-        low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])  # windows over a text's end are dropped below
-        span += step
-    inside = np.zeros(len(t), dtype=bool)
-    inside[: len(t) - width + 1] = t[: len(t) - width + 1] == t[width - 1 :] if len(t) >= width else False
-    some, start, count = np.unique(t, return_index=True, return_counts=True)
-    short = count < width
-    least = np.minimum.reduceat(rank, start)[short]
-    return np.concatenate([low[inside], least]), np.concatenate([t[inside], some[short]])
-
-
-def _sketch(size: int, threshold: float, classes, window: int):
+    return np.where(first, (h >> np.uint64(14)) & np.uint64(1), np.uint64(0)) << b
+
+
+def _bits(h: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of 2 * 64 bits of the texts' distinct shingles, given in order.
+
+    Of a record of up to SHORT shingles, a bit is the parity of one of 128 bins; else, a bit of the smallest shingle of a bin
+    (0 of an empty one), 64 bins each under two orders.
+    """
+    long = (n > SHORT)[t]
+    again, of = distinct_sorted(mix(h[long] + np.uint64(3)), t[long])
+    parity, half = np.uint64(1) << (h >> np.uint64(58)), (h >> np.uint64(20)) & np.uint64(1)
+    out = np.zeros((2, len(n)), dtype=np.uint64)
+    for k, (least, lt) in enumerate(((_least_bits(h[long], t[long]), t[long]), (_least_bits(again, of), of))):
+        here = ~long & (half == k)
+        for mark, mt in ((parity[here], t[here]), (least, lt)):
+            if len(mt):
+                start = np.flatnonzero(np.append(True, mt[1:] != mt[:-1]))
+                out[k, mt[start]] = np.bitwise_xor.reduceat(mark, start)
+    return out[0], out[1]
+
+
+def _lists_of(value: np.ndarray, of: np.ndarray, some: np.ndarray, texts: int) -> pa.ListArray:
+    cuts = np.searchsorted(of, np.append(some, texts))
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(value.view(np.int64)))
+
+
+def _sketch(size: int, threshold: float, classes, common_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in _texts(batch, 1):
@@ -193,77 +157,43 @@ def _sketch(size: int, threshold: float, classes, window: int):
                     continue
                 start = np.searchsorted(t, some)
                 sig = [np.add.reduceat(mix(h + np.uint64(s)), start).view(np.int64) for s in (1, 2)]
-                if window:
-                    low = _bins(h, t, words.texts)
-                else:
-                    low = np.full((words.texts, SKETCH), _PAD, dtype=np.uint32)
-                    first = np.searchsorted(t, np.arange(words.texts))
-                    rank = np.arange(len(t)) - first[t]
-                    k = rank < SKETCH
-                    low[t[k], rank[k]] = (h[k] >> np.uint64(32)).astype(np.uint32)
-                v, vt = _values(words, size, h, t, n, not window)
-                if window:  # a fingerprint per window of runs: its rarest, then smallest
-                    r, rt = shingles(words, RUN)
-                    long = (n > SHORT)[rt]
-                    r, rt = r[long] & ~np.uint64(4095), rt[long]
-                    rank = _run_ranks(r, classes.value)
-                    # shorter texts get narrower windows: their unbroken stretches are shorter
-                    runs = np.bincount(rt, minlength=words.texts)
-                    width = np.minimum(window, 1 << np.floor(np.log2(np.maximum(runs, 6) / 6)).astype(np.int64))
-                    picked = [_winnow(rank[k], rt[k], int(w), words.texts) for w in np.unique(width) if (k := (width == w)[rt]).any()]
-                    winnowed, wt = distinct_sorted(*map(np.concatenate, zip(*picked, strict=True))) if picked else (rank, rt)
-                    # in order of rarity: two records that share over a third of their fingerprints share one of these
-                    count = np.bincount(wt, minlength=words.texts)
-                    place = np.arange(len(wt)) - (np.cumsum(count) - count)[wt]
-                    rare = place < (RAREST * count[wt]).astype(np.int64) + 1
-                    winnowed, wt = winnowed[rare], wt[rare]
-                order = np.argsort(packed(_run_ranks(v, classes.value), vt))
-                most = np.where(n > SHORT, KEEP, 0)
-                prefix = np.where(n <= 3 * SHORT // 2, np.floor((1 - threshold) * n + 1e-9).astype(np.int64) + 1, 0)
-                # values of both kinds are ordered together; a record in both ranges keeps enough for both
-                is_short = np.zeros(len(v), dtype=bool)
-                is_short[len(v) - int((n <= 3 * SHORT // 2)[t].sum()) :] = True
-                kept = [_first_per_text(order[is_short[order] == s], vt, m) for s, m in ((False, most), (True, prefix))]
-                kept = kept[1] if window else np.concatenate([*kept, _beyond(order[~is_short[order]], vt, classes.value[_cells(v)], words.texts)])
-                value, of = v[kept], vt[kept]
-                if window:
-                    value, of = np.concatenate([value, winnowed]), np.concatenate([of, wt])
-                order = np.argsort(of, kind="stable")
-                value, of = value[order], of[order]
-                cuts = np.searchsorted(of, np.append(some, words.texts))
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(value.view(np.int64)))
+                v = mix(h ^ np.uint64(size))
+                order = np.argsort(packed(_ranks(v, classes.value), t))
+                kept = _first_per_text(order, t, np.floor((1 - threshold) * n + 1e-9).astype(np.int64) + 1)
+                value, of = v[kept], t[kept]  # texts are in order
+                common = classes.value[_cells(value)] >= common_from
+                bits = [pa.array(b[some].view(np.int64)) for b in _bits(h, t, n)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(some)), pa.array(n[some].astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]), pa.array([r.tobytes() for r in low[some]], pa.binary()), lists],
-                    names=["id", "n", "sig1", "sig2", "sketch", "vals"],
+                    [part.column(0).take(pa.array(some)), pa.array(n[some].astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]), *bits,
+                     _lists_of(value, of, some, words.texts), _lists_of(value[common], of[common], some, words.texts)],
+                    names=["id", "n", "sig1", "sig2", "sketch", "more", "vals", "common"],
                 )
 
     return run
 
 
 def shared_order(texts: DataFrame, size: int):
-    """The order of runs by rarity for all workers: CELLS bytes, whatever the size of the collection."""
-    return texts.sparkSession.sparkContext.broadcast(run_frequencies(texts.select("text"), size))
+    """The order of shingles by rarity for all workers: CELLS bytes, whatever the size of the collection."""
+    return texts.sparkSession.sparkContext.broadcast(frequencies(texts.select("text"), size))
 
 
-def sketches(texts: DataFrame, size: int, threshold: float, order, window: int = 0) -> DataFrame:
-    """(id, text) -> one row per record with a shingle: size, signature, sketch and retained values.
+def sketches(texts: DataFrame, size: int, threshold: float, order) -> DataFrame:
+    """(id, text) -> one row per record with a shingle: size, signature, sketch and prefix, of which ``common`` may be in over LIST records."""
+    common_from = next(c for c in range(256) if RARE << c > LIST)
+    return texts.select("id", "text").mapInArrow(_sketch(size, threshold, order, common_from), SKETCHED)
 
-    The values of longer records are the bottom-k of their runs, or with ``window`` a winnowed fingerprint of
-    every ``window`` consecutive runs (fewer for texts of few runs; the picks of a wide window are among those of a
-    narrow one).
-    """
-    return texts.select("id", "text").mapInArrow(_sketch(size, threshold, order, window), SKETCHED)
 
+def _most_differing(threshold: float) -> int:
+    """Bits in which sketches of longer records of this similarity differ at most, but for a chance below CHANCE.
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shared values among the bottom-k of the unions, and how many values those hold."""
-    s = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    new = np.ones(s.shape, dtype=bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    new &= s != _PAD
-    rank = np.cumsum(new, axis=1, dtype=np.int16)
-    shared = ((~new[:, 1:]) & (s[:, 1:] != _PAD) & (rank[:, 1:] <= SKETCH)).sum(axis=1)
-    return shared, np.minimum(rank[:, -1], SKETCH)
+    The smallest shingle of a bin of either record is shared with the chance of the similarity; else half of the bits differ.
+    """
+    p, below = (1 - threshold) / 2, 0.0
+    for k in range(128):
+        below += comb(128, k) * p**k * (1 - p) ** (128 - k)
+        if 1 - below < CHANCE:
+            return k
+    return 128
 
 
 def _judge(key: np.ndarray, table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -272,9 +202,8 @@ def _judge(key: np.ndarray, table: pa.Table, threshold: float) -> Iterator[pa.Re
     n = table.column("n").to_numpy()
     block = table.column("block").to_numpy()
     old = table.column("old").to_numpy(zero_copy_only=False)
-    raw = b"".join(table.column("sketch").to_pylist())
-    short = len(raw) == BINS * len(key)
-    low = np.frombuffer(raw, dtype=np.uint8).reshape(-1, BINS) if short else np.frombuffer(raw, dtype=np.uint32).reshape(-1, SKETCH)
+    low, more = table.column("sketch").to_numpy(), table.column("more").to_numpy()
+    reach, most = (1 - threshold) / (1 + threshold), _most_differing(threshold)
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(new, len(key)))
     later = np.repeat(new + size, size) - np.arange(len(key)) - 1
@@ -289,13 +218,10 @@ def _judge(key: np.ndarray, table: pa.Table, threshold: float) -> Iterator[pa.Re
             near = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
             near &= (ids[x] != ids[y]) & ~(old[x] & old[y]) & ((block[x] < 0) | (block[x] != block[y]))
             x, y = x[near], y[near]
-            # the chance that a pair of the threshold falls below is under 0.001
-            if short:
-                p, q = low[x], low[y]
-                ok = ((p == q) & (p > 0)).sum(axis=1) >= np.floor((threshold - 0.3875) * ((p > 0) | (q > 0)).sum(axis=1))
-            else:
-                shared, of = union_estimate(low[x], low[y])
-                ok = shared >= np.where(of < SKETCH, threshold * of - 1e-9, (threshold - 0.45) * of)
+            differing = np.bitwise_count((low[x] ^ low[y]).view(np.uint64)) + np.bitwise_count((more[x] ^ more[y]).view(np.uint64))
+            # a parity that differs is one shingle more that only one of both has; sketches of different kinds tell nothing
+            few = differing <= np.where(n[x] <= SHORT, reach * (n[x] + n[y]) + 1e-9, most)
+            ok = few | ((n[x] <= SHORT) != (n[y] <= SHORT))
             lo, hi = np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])
             if len(lo):
                 p = np.unique(np.stack([lo, hi], axis=1), axis=0)
@@ -328,14 +254,14 @@ def _pair_lists(threshold: float):
     return run
 
 
-def _lists(base: DataFrame) -> DataFrame:
-    """Postings (key, id, n, sketch, old) -> (key, id, n, sketch, old, block), lists of at most about LIST each.
+def _lists(base: DataFrame, common: DataFrame) -> DataFrame:
+    """Postings (key, id, n, sketch, more, old) -> (key, id, n, sketch, more, old, block), lists of at most about LIST each.
 
     A longer list is dealt into blocks, and every two of its blocks meet in a list of their own: each pair of its postings
-    stays together once.
+    stays together once. ``common`` has a row (key) for each posting whose list may be so long.
     """
-    hot = materialize(base.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "hot")
-    plain = base.select("key", "id", "n", "sketch", "old", F.lit(-1).alias("block"))
+    hot = materialize(common.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "hot")
+    plain = base.select("key", "id", "n", "sketch", "more", "old", F.lit(-1).alias("block"))
     if hot.isEmpty():
         return plain
     hot = checked_broadcast(hot, NAMED)
@@ -343,7 +269,7 @@ def _lists(base: DataFrame) -> DataFrame:
     split = base.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = split.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("key", F.least("block", "meets"), F.greatest("block", "meets")).alias("key"),
-        "id", "n", "sketch", "old", F.when(F.col("block") == F.col("meets"), -1).otherwise(F.col("block")).alias("block"),
+        "id", "n", "sketch", "more", "old", F.when(F.col("block") == F.col("meets"), -1).otherwise(F.col("block")).alias("block"),
     )
     return plain.unionByName(split)
 
@@ -370,12 +296,12 @@ def _verify(size: int, threshold: float):
 
 
 def postings(docs: DataFrame, old: bool = False) -> DataFrame:
-    return docs.select("id", "n", "sketch", F.explode("vals").alias("key"), F.lit(old).alias("old"))
+    return docs.select("id", "n", "sketch", "more", F.explode("vals").alias("key"), F.lit(old).alias("old"))
 
 
-def similar_pairs(base: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b) with a < b: pairs of the posted records, not both old, that are at least ``threshold`` alike."""
-    lists = _lists(base).repartition("key").sortWithinPartitions("key")
+    lists = _lists(base, common).repartition("key").sortWithinPartitions("key")
     near = materialize(lists.mapInArrow(_pair_lists(threshold), "a long, b long").distinct(), "near")
     named = checked_broadcast(materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "named"), NAMED)
     wanted = texts.select("id", "text").join(named, "id", "left_semi")
@@ -395,7 +321,7 @@ def near_duplicates(df: DataFrame, id_column: str, columns: list[str], size: int
     copied = docs.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     members = materialize(docs.join(copied, equal).select("id", "rep"), "members")
     single = docs.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    return similar_pairs(postings(single), texts, size, threshold), members
+    return similar_pairs(postings(single), docs.select(F.explode("common").alias("key")), texts, size, threshold), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:

@@ -149,6 +149,24 @@ def test_near_duplicates_hot_list(spark, monkeypatch):
     assert len(want) == 30 and found_near(spark, texts) == want
 
 
+def variants(size, count, most):
+    base = [f"v{i}" for i in range(size)]
+    out = []
+    for _ in range(count):
+        w = list(base)
+        for _ in range(rng.randint(2, most)):
+            w[rng.randrange(size)] = f"zz{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_large_group(spark):
+    """Groups whose shared values are frequent while each text's own ones are rare."""
+    texts = variants(150, 300, 4) + [f"u {x}" for x in variants(60, 200, 3)]
+    want = similar(texts, 3, 0.7)
+    assert len(want) > 10_000 and found_near(spark, texts) == want
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "item_id long, title string")
     pairs, members = neardup.near_duplicates(df, "item_id", ["title"])
