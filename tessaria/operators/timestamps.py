@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tessaria.functions.zones import zone_table
 from tessaria.runtime import BLANKS
 
-#: Longer texts are no timestamps.
+#: Longer texts, without their outer blanks, are no timestamps.
 MAX_CHARS = 80
 
 #: Plain numbers are read in the unit that puts them between these seconds since the epoch (2001 to 2033).
@@ -266,7 +266,7 @@ def _convert(r: _Rows, home: np.ndarray, month_first: np.ndarray) -> tuple[np.nd
 def parse_instants(texts: pd.Series, home: pd.Series, month_first: pd.Series) -> pd.Series:
     """UTC microseconds of each text, null where it denotes no instant."""
     out, known = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
-    stripped = [t.strip(BLANKS) if isinstance(t, str) and len(t) <= 4 * MAX_CHARS else "" for t in texts]
+    stripped = [t.strip(BLANKS) if isinstance(t, str) else "" for t in texts]
     zones = home.fillna("UTC").to_numpy(dtype=object).astype(str)
     order = month_first.fillna(False).to_numpy(dtype=bool)
     by_mask: dict[str, list[int]] = {}

@@ -60,6 +60,12 @@ def test_formats():
     assert [None if pd.isna(x) else int(x) for x in got] == list(want)
 
 
+def test_outer_blanks_of_any_number():
+    texts = pd.Series([" " * 500 + "2024-01-01" + "\t" * 500, "2024-01-01" + " " * 50 + "x" * 50])
+    got = parse_instants(texts, pd.Series(["UTC"] * 2), pd.Series([False] * 2))
+    assert got[0] == us(2024, 1, 1) and pd.isna(got[1])
+
+
 def test_zone_table_agrees_with_zoneinfo():
     from zoneinfo import ZoneInfo
 
