@@ -52,10 +52,11 @@ def _replay(rows: DataFrame, order=None) -> DataFrame:
     """Admit the rows (id, batch_no, key[, text]) in order of arrival, some batches at a time."""
     spark = rows.sparkSession
     store = Store(spark)
-    last = rows.agg(F.max("batch_no")).first()[0] or 0
+    no = F.coalesce("batch_no", F.lit(0))
+    first, last = (x or 0 for x in rows.agg(F.min(no), F.max(no)).first())
     decided = []
-    for at in range(0, last + 1, BATCHES_AT_ONCE):
-        some = rows.filter((F.coalesce("batch_no", F.lit(0)) >= at) & (F.coalesce("batch_no", F.lit(0)) < at + BATCHES_AT_ONCE))
+    for at in range(first, last + 1, BATCHES_AT_ONCE):
+        some = rows.filter((no >= at) & (no < at + BATCHES_AT_ONCE))
         decided.append(admit(store, some.drop("batch_no"), ITEM_WORDS, ITEM_SIMILARITY, order))
     return reduce(DataFrame.unionByName, decided)
 

@@ -201,6 +201,12 @@ def test_admit(spark, monkeypatch, most):
     assert got == greedy(texts, keys, 0.7)
 
 
+def test_replay_early_batches(spark):
+    rows = [(1, -3, "a"), (2, -1, "a"), (3, None, "b"), (4, 5, "b")]
+    got = queries._replay(spark.createDataFrame(rows, "id long, batch_no int, key string"))
+    assert sorted((r.id, r.kept) for r in got.collect()) == [(2, 1), (4, 3)]
+
+
 def test_admit_keys_only(spark):
     store = history.Store(spark)
     first = history.admit(store, spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, key string")).collect()
