@@ -1,19 +1,26 @@
 """Deduplicating new batches against all history.
 
-A store in the shared folder holds, of the accepted rows only, their exact keys, content fingerprints (the prefixes of
-their shingles, see :mod:`tessaria.llm.neardup`), sketches and texts, and partitioned Bloom filters over keys and fingerprints. A batch goes through these steps:
-
-1. Its fingerprints and keys are prescreened: they travel to their filter's partition behind the filter
-   itself, and only possible members go on. Nothing of the history is read for the others.
-2. Positives are looked up in the store. Shared fingerprints bring up pairs of a new row with an accepted one or
-   with another new row; shared coverage is judged by the sketches and verified by exact Jaccard.
-3. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id
-   and accepted unless they repeat an accepted one (a pass over the rows that share anything; split by connected
-   component where it is large).
-4. Accepted rows are appended to the store, their keys and fingerprints to new filter layers.
-
-The history is never fingerprinted or compared again. Rows with equal contents count once until the
-decision, so groups of copies cost as much as one row each.
+A store in the shared folder holds what was accepted so far: per row its exact key, the signature of its content, its
+fingerprints (the prefix of the text's shingles, see :mod:`tessaria.llm.neardup`) and the text for verification; beside them,
+partitioned Bloom filters over all these values, and the order of shingles, counted over the first batch and kept from
+then on. A batch goes through these steps:
+
+1. Prescreen. The values of the batch travel to their filter's partition, behind the filter itself. Values that the
+   filter doesn't know and that only one row of the batch has are done: nothing of the history is read for them.
+   The same pass adds the values to the filter.
+2. Lookup. Possible members are looked up in the store. Shared keys and signatures are repeats at once;
+   shared fingerprints bring up pairs of a new row with an accepted one or with another new row, which are judged
+   by their sketches and verified by exact Jaccard over the whole texts.
+3. Decision. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id and
+   accepted unless they repeat an accepted one: in one task while they are few, else in rounds over the cluster.
+4. Update. The accepted rows and the filters become part of the store by one small file, which
+   is written last: a batch is in the store whole or not at all, and a batch that is already there is not admitted again.
+
+The history is never fingerprinted, counted or compared again, and a later batch is never looked at. Rows with equal
+contents count once until the decision, so groups of copies cost as much as one row each.
+
+Filters are scalable: a partition has layers of ``FILTER_BITS`` bits, of which the last one is open. It is closed at ``CAPACITY``
+entries and never rewritten; then another is opened. So the share of false positives stays as it is while the history grows.
 
 Defined results: a null or blank key and a text without a shingle match nothing; ids decide ties; a repeated id counts
 once; an empty batch changes nothing; texts of any length are used whole; extra columns are ignored.
@@ -21,227 +28,344 @@ once; an empty batch changes nothing; texts of any length are used whole; extra
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.llm.components import connected_components
-from tessaria.llm.neardup import postings, similar_pairs, sketches
+from tessaria.llm.neardup import ORDER, broadcast_order, shingle_order, similar_pairs, sketches
 from tessaria.llm.words import mix
-from tessaria.runtime import free_shuffles, materialize, checked_broadcast, scratch, fresh_path
-
-#: Partitions of the Bloom filters (the default of a store) and bits of each; more entries cost more lookups, never a wrong
-#: result.
-FILTER_PARTS, FILTER_BITS = 32, 1 << 21
-FILTER_HASHES = 4
-#: Positives (one number each) up to which a lookup sends them to the store's files instead of shuffling the store.
-LOOKUP_ROWS = 400_000
-#: Lines (row, token) of undecided rows that one task resolves; beyond, components are resolved apart.
-RESOLVE_LINES = 3_000_000
-
-
-def _bits(v: np.ndarray) -> np.ndarray:
+from tessaria.runtime import Save, checked_broadcast, delete_path, fresh_path, get_files, put_file, save
+
+#: Partitions of the Bloom filters (the default of a store), bits of a layer, and the entries that close it (about 1 % false positives).
+FILTER_PARTS, FILTER_BITS, CAPACITY = 8, 1 << 21, 200_000
+FILTER_HASHES = 5
+#: Rows and pairs that one task decides; beyond, the cluster decides in rounds.
+RESOLVE_ROWS = 1_000_000
+#: Records that share a shingle of the first batch from which it counts as frequent.
+RARE = 4
+
+#: Kinds of values: exact keys, signatures of whole texts, fingerprints; and of a line that holds a pair.
+KEY, SIGNATURE, SHINGLE, PAIR = 0, 1, 2, 3
+POSTING = "v long, kind int, id long, n int, a long, b long, s long"
+POSTING_COLUMNS = ["v", "kind", "id", "n", "a", "b", "s"]
+SCREENED = f"{POSTING}, dup boolean, known boolean, part int, layer int, entries long, bits binary, what int"
+#: What a row of a screened batch is: the open layer of a filter, a layer just closed, or a posting.
+OPEN, CLOSED, VALUE = 0, 1, 2
+
+
+def _places(v: np.ndarray) -> np.ndarray:
     x = mix(v.view(np.uint64) + np.uint64(0x51ED270B))
     y = mix(x) | np.uint64(1)
     return np.stack([(x + np.uint64(i) * y) & np.uint64(FILTER_BITS - 1) for i in range(FILTER_HASHES)]).astype(np.int64)
 
 
-def _part(c: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, v) -> one filter layer per partition met; a task holds a filter per partition it meets."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        part, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for p in np.unique(part).tolist():
-            held.setdefault(p, np.zeros(FILTER_BITS, dtype=bool))[_bits(v[part == p]).ravel()] = True
-    for p, bits in held.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, bits, v), the filter layers of a partition before its values -> possible members v."""
-    now, bits = -1, None
-    for batch in batches:
-        part, layers, v = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            if p != now:
-                now, bits = p, None
-            is_layer = np.array([layers[int(i)].is_valid for i in at]) if layers.null_count < len(layers) else np.zeros(len(at), dtype=bool)
-            for i in at[is_layer]:
-                layer = np.unpackbits(np.frombuffer(layers[int(i)].as_py(), dtype=np.uint8)).astype(bool)
-                bits = layer if bits is None else bits | layer
-            if bits is not None and len(rest := at[~is_layer]):
-                values = v.take(pa.array(rest)).to_numpy()
-                yield pa.RecordBatch.from_pydict({"v": pa.array(values[bits[_bits(values)].all(axis=0)])})
-
-
-class Store:
-    """Accepted rows of one table in the shared folder, as Parquet tables that each batch appends to."""
-
-    TABLES = {
-        "keys": "v long, key string, id long",
-        "fingerprints": "v long, id long",
-        "docs": "id long, n int, sketch long, more long",
-        "texts": "id long, text string",
-        "filters": "kind string, part int, bits binary",
-    }
+class _Filter:
+    """The layers of one partition: those of the store for the question, a copy of the last for what comes in."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, filter_parts: int = FILTER_PARTS) -> None:
-        """``filter_parts`` is fixed for a store's life: about one for every 250,000 entries expected of a kind and batch."""
-        self.spark, self.path, self.filter_parts = spark, path or fresh_path(spark, "store"), filter_parts
-        for name, schema in self.TABLES.items():
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+    def __init__(self, part: int) -> None:
+        self.part, self.layers, self.fresh, self.entries, self.done = part, {}, None, 0, []
+        self.number = 0
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{name}")
+    def load(self, layer: int, bits: bytes, entries: int) -> None:
+        self.layers[layer] = np.frombuffer(bits, dtype=np.uint8)
+        if layer >= self.number:
+            self.number, self.entries = layer, entries
 
-    def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(places.shape[1], dtype=bool)
+        for bits in self.layers.values():
+            out |= ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
+        return out
 
-    def positives(self, kind: str, values: DataFrame) -> DataFrame:
-        """Distinct values (v) that the filters of this kind may hold; to be broadcast where they are few."""
-        layers = self.read("filters").filter(F.col("kind") == kind).select("part", "bits", F.lit(None).cast("long").alias("v"))
-        asked = values.select("v").select(_part(F.col("v"), self.filter_parts).alias("part"), F.lit(None).cast("binary").alias("bits"), "v")
-        both = layers.unionByName(asked).repartition(self.filter_parts, "part").sortWithinPartitions("part", F.col("bits").isNull())
-        return checked_broadcast(materialize(both.mapInArrow(_screen, "v long").distinct(), "positives"), LOOKUP_ROWS)
+    def add(self, places: np.ndarray) -> None:
+        if not places.shape[1]:
+            return
+        if self.fresh is None:
+            full = self.entries >= CAPACITY
+            self.fresh = self.layers[self.number].copy() if self.number in self.layers and not full else np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+            if full:
+                self.number, self.entries = self.number + 1, 0
+        np.bitwise_or.at(self.fresh, (places >> 3).ravel(), np.left_shift(np.uint8(1), (places & 7).astype(np.uint8)).ravel())
+        self.entries += places.shape[1]
+        if self.entries >= CAPACITY:
+            self.done.append((self.number, self.fresh, self.entries, CLOSED))
+            self.number, self.entries, self.fresh = self.number + 1, 0, None
 
-    def extend_filter(self, kind: str, values: DataFrame) -> None:
-        """One more filter layer per partition, from the values (v) of newly accepted rows."""
-        parts = values.select(_part(F.col("v"), self.filter_parts).alias("part"), "v").repartition(self.filter_parts, "part")
-        built = parts.mapInArrow(_build, "part int, bits binary")
-        self.append("filters", built.select(F.lit(kind).alias("kind"), "part", "bits"))
+    def changed(self) -> list[tuple[int, np.ndarray, int, int]]:
+        bits = self.fresh if self.fresh is not None else self.layers.get(self.number) if self.entries < CAPACITY else None
+        return self.done + ([(self.number, bits, self.entries, OPEN)] if bits is not None else [])
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (component, id, token, own) in this order -> (id, kept) of rows that repeat an accepted one.
+def _screened(rows: int, /, **columns) -> pa.RecordBatch:
+    schema = {"v": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "n": pa.int32(), "a": pa.int64(), "b": pa.int64(), "s": pa.int64(), "dup": pa.bool_(), "known": pa.bool_(), "part": pa.int32(), "layer": pa.int32(), "entries": pa.int64(), "bits": pa.binary(), "what": pa.int32()}
+    return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in schema.items()], names=list(schema))
 
-    A row repeats the accepted rows registered under any of its tokens; an accepted row registers under its own.
-    """
-    taken: dict[str, int] = {}
-    component, row, tokens, out = None, None, [], []
 
-    def close() -> None:
-        if row is None:
-            return
-        kept = min((taken[t] for t, _ in tokens if t in taken), default=None)
-        if kept is None:
-            for t, own in tokens:
-                if own:
-                    taken[t] = row
-        else:
-            out.append((row, kept))
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (posting, part, layer, entries, bits), by partition, its layers first, then its values in order -> the values that the
+    filter may know or that several rows have, and the filter with all values added."""
+    now: _Filter | None = None
+    held: pa.RecordBatch | None = None  # the last value so far, while no second row has it
+    last: int | None = None
+    text: np.ndarray | None = None
+
+    def layers() -> Iterator[pa.RecordBatch]:
+        if now is not None and (out := now.changed()):
+            yield _screened(len(out), part=[now.part] * len(out), layer=[x[0] for x in out], bits=[x[1].tobytes() for x in out], entries=[x[2] for x in out], what=[x[3] for x in out])
+
+    def single() -> Iterator[pa.RecordBatch]:
+        if held is not None:
+            yield from shown(held, np.zeros(1, dtype=bool))
+
+    def shown(rows: pa.RecordBatch, dup: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v = rows.column("v").to_numpy()
+        places = _places(v)
+        known = now.holds(places)
+        first = np.append(True, v[1:] != v[:-1])
+        now.add(places[:, ~known & first])
+        if len(at := np.flatnonzero(known | dup)):
+            some = rows.take(pa.array(at))
+            columns = {c: some.column(c) for c in POSTING_COLUMNS}
+            yield _screened(len(at), **columns, dup=pa.array(dup[at]), known=pa.array(known[at]), what=[VALUE] * len(at))
 
     for batch in batches:
-        for c, i, t, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if i != row or c != component:
-                close()
-                row, tokens = i, []
-                if c != component:
-                    component = c
-                    taken.clear()
-            tokens.append((t, own))
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_pydict({"id": pa.array([a for a, _ in out], pa.int64()), "kept": pa.array([b for _, b in out], pa.int64())})
-            out.clear()
-    close()
-    if out:
-        yield pa.RecordBatch.from_pydict({"id": pa.array([a for a, _ in out], pa.int64()), "kept": pa.array([b for _, b in out], pa.int64())})
-
-
-def resolve(lines: DataFrame, most: int = RESOLVE_LINES) -> DataFrame:
-    """(id, token, own) -> (id, kept): rows in order of id, each accepted unless it repeats an accepted one."""
-    if lines.count() <= most:
-        ordered = lines.select(F.lit(0).alias("component"), "id", "token", "own").coalesce(1).sortWithinPartitions("id")
-    else:
-        links = lines.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("u"), F.concat(F.lit("t"), "token").alias("v"))
-        found = connected_components(links).select(F.substring("node", 2, 40).cast("long").alias("id"), "component").filter("id is not null")
-        ordered = lines.join(found, "id").select(F.xxhash64("component").alias("component"), "id", "token", "own")
-        ordered = ordered.repartition("component").sortWithinPartitions("component", "id")
-    return ordered.mapInArrow(_resolve, "id long, kept long")
+        part = batch.column("part").to_numpy()
+        for cut in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            if not len(cut):
+                continue
+            rows = batch.slice(int(cut[0]), len(cut))
+            if now is None or part[cut[0]] != now.part:
+                yield from single()
+                yield from layers()
+                now, held, last, text = _Filter(int(part[cut[0]])), None, None, None
+            for r in rows.filter(rows.column("layer").is_valid()).select(["layer", "bits", "entries"]).to_pylist():
+                now.load(r["layer"], r["bits"], r["entries"])
+            rows = rows.filter(rows.column("layer").is_null())
+            if not rows.num_rows:
+                continue
+            # of copies that came up in several places, the first one stands for all
+            own = np.stack([rows.column(c).to_numpy() for c in ("v", "s", "kind")])
+            before = np.concatenate([own[:, :1] - 1 if text is None else text, own[:, :-1]], axis=1)
+            text = own[:, -1:]
+            keep = (own[2] != SHINGLE) | (own != before).any(axis=0)
+            rows = rows.filter(pa.array(keep))
+            if not rows.num_rows:
+                continue
+            v = rows.column("v").to_numpy()
+            if held is not None:
+                if v[0] == last:
+                    yield from shown(held, np.ones(1, dtype=bool))
+                else:
+                    yield from single()
+                held = None
+            same = v[1:] == v[:-1]
+            dup = np.append(v[:1] == (v[0] - 1 if last is None else last), same) | np.append(same, False)
+            last = int(v[-1])
+            if not dup[-1]:
+                held = rows.slice(len(v) - 1, 1)
+                rows, dup = rows.slice(0, len(v) - 1), dup[:-1]
+            if rows.num_rows:
+                yield from shown(rows, dup)
+    yield from single()
+    yield from layers()
+
+
+_NONE = "cast(array() as array<struct<v:bigint,kind:int,n:int,a:bigint,b:bigint,s:bigint>>)"
+
+
+def _posted(docs: DataFrame, leads: str) -> DataFrame:
+    """Postings of rows (id, key, n, sig1, sig2, sketch, more, vals): of the key, where there is one, of a text's signature, and of the
+    fingerprints of rows that lead."""
+    of_key = f"if(key is null, {_NONE}, array(named_struct('v', xxhash64('key', key), 'kind', {KEY}, 'n', 0, 'a', xxhash64(key, 'again'), 'b', 0L, 's', 0L)))"
+    of_signature = f"if(n = 0, {_NONE}, array(named_struct('v', xxhash64('text', sig1, n), 'kind', {SIGNATURE}, 'n', n, 'a', sig1, 'b', sig2, 's', 0L)))"
+    of_text = f"if({leads}, transform(vals, x -> named_struct('v', x, 'kind', {SHINGLE}, 'n', n, 'a', sketch, 'b', more, 's', sig1)), {_NONE})"
+    return docs.selectExpr("id", f"inline(concat({of_key}, {of_signature}, {of_text}))").select(*POSTING_COLUMNS)
 
 
-def _resolve_groups(lines: DataFrame) -> DataFrame:
-    """:func:`resolve`, but rows with the same own tokens go through it as one: the later ones share the first one's fate.
+class Store:
+    """Accepted rows in a folder that all executors share; each batch adds one generation.
 
-    A key or a text that a third of all rows have so costs the pass a single row.
+    A folder that holds a store already is opened as it is: what was admitted in other sessions stays in force, with the order of
+    shingles, their size, the threshold and the number of filter partitions it was begun with.
     """
-    mine = lambda kind: F.max(F.when(F.startswith("token", F.lit(kind)), F.col("token"))).alias(kind)
-    own = lines.filter("own").groupBy("id").agg(mine("k"), mine("c"))
-    groups = own.groupBy("k", "c").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = checked_broadcast(materialize(groups.select(F.col("k").alias("gk"), F.col("c").alias("gc"), "first"), "groups"), LOOKUP_ROWS // 4)
-    later = own.join(groups, own["k"].eqNullSafe(groups["gk"]) & own["c"].eqNullSafe(groups["gc"])).filter("id <> first").select("id", "first")
-    later = materialize(later, "later")
-    decided = materialize(resolve(materialize(lines.join(checked_broadcast(later.select("id"), LOOKUP_ROWS), "id", "left_anti"), "first_lines")), "firsts")
-    fate = later.join(decided.select(F.col("id").alias("first"), "kept"), "first", "left").select("id", F.coalesce("kept", "first").alias("kept"))
-    return decided.unionByName(fate)
 
+    ACCEPTED = "id long, n int, sig1 long, sig2 long, sketch long, more long, vals array<long>, text string, key string"
+    DECIDED = "id long, kept long"
 
-def admit(store: Store, batch: DataFrame, size: int = 5, threshold: float = 0.8, order=None) -> DataFrame:
-    """Check a batch (id, key[, text]) against the store and itself; append what is accepted to the store.
+    def __init__(self, spark: SparkSession, path: str | None = None, filter_parts: int = FILTER_PARTS) -> None:
+        """``filter_parts``: about one for every ten million values that the store shall hold."""
+        self.spark, self.path, self.filter_parts = spark, path or fresh_path(spark, "store"), filter_parts
+        self.commits = [json.loads(x) for x in get_files(spark, f"{self.path}/commits", ".json")]
+        if self.commits:
+            self.filter_parts = self.commits[0]["filter_parts"]
+        self._order = None
+
+    def accepted(self) -> DataFrame | None:
+        """All accepted rows: what is posted of them, and their texts; None while there are none."""
+        paths = [f"{self.path}/{c['folder']}/accepted" for c in self.commits if c["accepted"]]
+        return self.spark.read.schema(self.ACCEPTED).parquet(*paths) if paths else None
+
+    def filters(self) -> DataFrame | None:
+        """The closed layers of all generations and the open ones of the last."""
+        paths = [f"{self.path}/{c['folder']}/screened/what={CLOSED}" for c in self.commits if c["closed"]]
+        paths += [f"{self.path}/{c['folder']}/screened/what={OPEN}" for c in self.commits[-1:] if c["open"]]
+        return self.spark.read.schema("part int, layer int, entries long, bits binary").parquet(*paths) if paths else None
+
+    def decisions(self, batch: int | str) -> DataFrame | None:
+        """(id, kept) of the rows of an admitted batch that repeat an accepted row; None for a batch that isn't in the store."""
+        for c in self.commits:
+            if c["batch"] == batch:
+                return self.spark.read.schema(self.DECIDED).parquet(f"{self.path}/{c['folder']}/decided")
+        return None
+
+    def order(self, size: int, threshold: float, texts: DataFrame, folder: str):
+        """The order of shingles for all workers: the store's own, or one counted over these texts for a new store."""
+        if self.commits and (self.commits[0]["size"], self.commits[0]["threshold"]) != (size, threshold):
+            raise ValueError("the store was begun with another size or threshold")
+        if self._order is None:
+            kept = f"{self.path}/{self.commits[0]['folder'] if self.commits else folder}/order"
+            if not self.commits:
+                shingle_order(texts, size, RARE).write.parquet(kept)
+            self._order = broadcast_order(self.spark.read.schema(ORDER).parquet(kept))
+        return self._order
+
+    def commit(self, entry: dict) -> None:
+        put_file(self.spark, f"{self.path}/commits/{len(self.commits):08d}.json", json.dumps(entry))
+        self.commits.append(entry)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (v, kind, id, n, a, b, old) of one batch -> (id, kept): what shares keys and signatures, and pairs (kind PAIR, id and v)."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    key_of: dict[int, tuple] = {}
+    class_of: dict[int, int] = {}
+    before: dict = {}  # smallest accepted row of the history, by key or class
+    texts: dict[tuple, list[int]] = {}
+    near: dict[int, list[int]] = {}
+    seen: dict[tuple, int] = {}
+    first = lambda d, k, i: d.__setitem__(k, min(i, d.get(k, i)))
+    table = pa.Table.from_batches(held)
+    for v, kind, i, n, a, b, old in zip(*(table.column(c).to_pylist() for c in ("v", "kind", "id", "n", "a", "b", "old")), strict=True):
+        if kind == PAIR:
+            if old:
+                first(before, v, i)
+            else:
+                near.setdefault(i, []).append(v)
+                near.setdefault(v, []).append(i)
+            class_of.setdefault(v, v)
+            if not old:
+                class_of.setdefault(i, i)
+        elif old:
+            first(seen, (v, n, a, b), i)
+        elif kind == KEY:
+            key_of[i] = (v, n, a, b)
+        else:
+            texts.setdefault((v, n, a, b), []).append(i)
+    for token, members in texts.items():
+        lead = min(members)
+        class_of |= dict.fromkeys(members, lead)
+        if token in seen:
+            first(before, lead, seen[token])
+    accepted: dict = {}
+    out = []
+    for i in sorted(class_of.keys() | key_of.keys()):
+        own, k = class_of.get(i, i), key_of.get(i)
+        found = [d[t] for d, t in ((before, own), (seen, k)) if t in d] or [accepted[t] for t in (own, k, *near.get(own, ())) if t in accepted]
+        if found:
+            out.append((i, min(found)))
+        else:
+            accepted[own] = i
+            if k is not None:
+                accepted[k] = i
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["id", "kept"])
+
+
+def _in_rounds(exact: DataFrame, pairs: DataFrame, keep: Save) -> DataFrame:
+    """What :func:`_in_order` gives, decided on the cluster: in each round all rows are decided before which nothing is open."""
+    by = ["v", "kind", "n", "a", "b"]
+    groups = exact.groupBy(*by).agg(F.min(F.expr("if(old, id, null)")).alias("kept"), F.min(F.expr("if(old, null, id)")).alias("lead"))
+    mine = exact.filter("not old").join(groups, by)
+    keyed = mine.filter(F.col("kind") == KEY).groupBy("id").agg(F.min("v").alias("k"), F.min("kept").alias("key_kept"))
+    links = pairs.filter("not old")
+    ends = links.selectExpr("a id", "a rep").union(links.selectExpr("b", "b")).union(pairs.filter("old").selectExpr("b", "b"))
+    classes = mine.filter(F.col("kind") == SIGNATURE).selectExpr("id", "lead rep").union(ends).groupBy("id").agg(F.min("rep").alias("rep"))
+    class_kept = pairs.filter("old").selectExpr("b rep", "a kept").union(mine.filter(F.col("kind") == SIGNATURE).selectExpr("lead", "kept")).groupBy("rep").agg(F.min("kept").alias("class_kept"))
+    met = classes.join(keyed, "id", "full").withColumn("rep", F.coalesce("rep", "id")).join(class_kept, "rep", "left")
+    met, _ = keep(met.selectExpr("id", "rep", "k", "least(key_kept, class_kept) kept"), "met")
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("rep", "other")
+    state, turn = met.filter("kept is null").selectExpr("id", "rep", "k", "0 state"), 0  # 0 open, 1 accepted, 2 a repeat
+    first = lambda s, c: F.min(F.when(F.col("state") == s, F.col("id"))).alias(c)
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Per row the smallest accepted and the smallest open row that it is compared with."""
+        keys = state.filter("k is not null").groupBy("k").agg(first(1, "ka"), first(0, "ko"))
+        own = state.groupBy("rep").agg(first(1, "ca"), first(0, "co"))
+        near = both.join(own.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.min("ca").alias("na"), F.min("co").alias("no"))
+        return rows.join(keys, "k", "left").join(own, "rep", "left").join(near, "rep", "left").selectExpr("id", "rep", "k", "state", "least(ka, ca, na) done", "least(ko, co, no) waits")
+
+    while not state.filter("state = 0").isEmpty():
+        state, _ = keep(around(state).selectExpr("id", "rep", "k", "case when state > 0 then state when done < id then 2 when waits >= id then 1 else 0 end state"), f"round{turn}")
+        turn += 1
+    # what a repeat repeats is known only when all before it are decided
+    return met.filter("kept is not null").select("id", "kept").unionByName(around(state.filter("state = 2")).selectExpr("id", "done kept"))
+
+
+def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Check a batch (id, key[, text]) against the store and itself; what is accepted becomes part of the store.
 
     Result: (id, kept) of the rows that repeat an accepted row, with the smallest accepted id they repeat. All ids
-    of a batch are greater than those of the batches before. ``order`` is the shingle order of the store
-    (:func:`tessaria.llm.neardup.shared_order`), always the same; without it, only keys are compared.
+    of a batch are greater than those of the batches before that they are compared with. ``name`` names the batch: one that
+    the store holds already changes nothing and gives the result it gave.
     """
-    with scratch(store.spark):  # all but the result goes when the batch is done
-        decided = _admit(store, batch.filter("id is not null"), size, threshold, order)
-    kept = materialize(decided, "decided")
-    free_shuffles(store.spark)
-    return kept
-
-
-def _admit(store: Store, rows: DataFrame, size: int, threshold: float, order) -> DataFrame:
-    keyed = rows.filter("key is not null").select("id", "key", F.xxhash64("key").alias("v"))
-    asked = store.positives("key", keyed)
-    known = store.read("keys").join(asked, "v", "left_semi").groupBy("v", "key").agg(F.min("id").alias("kept"))
-    repeats = keyed.join(checked_broadcast(materialize(known, "known"), LOOKUP_ROWS // 4), ["v", "key"]).select("id", "kept")
-    lines = keyed.select("id", F.concat(F.lit("k"), "key").alias("token"), F.lit(True).alias("own"))
-    if order is not None:
-        docs = materialize(sketches(rows, size, threshold, order), "sketches")
-        member = docs.select("id", F.struct("sig1", "sig2", "n").alias("sig"))
-        copied = member.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("sig", "rep")
-        copies = materialize(member.join(copied, "sig").select("id", "rep").filter("id <> rep"), "copies")
-        own = docs.join(checked_broadcast(copies.select("id"), LOOKUP_ROWS), "id", "left_anti")
-        asked = store.positives("fingerprint", own.select(F.explode("vals").alias("v")))
-        hits = store.read("fingerprints").join(asked, "v", "left_semi").join(store.read("docs"), "id")
-        hits = hits.select("id", "n", "sketch", "more", F.col("v").alias("key"), F.lit(True).alias("old"))
-        base = materialize(postings(own).unionByName(hits), "postings")
-        texts = store.read("texts").unionByName(rows.select("id", "text"))
-        pairs = materialize(similar_pairs(base, base.select("key"), texts, size, threshold), "pairs")
-        new = docs.select(F.col("id").alias("other"))
-        both = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
-        inside = materialize(both.join(new.withColumnRenamed("other", "rep"), "rep", "left_semi").join(new.withColumn("new", F.lit(True)), "other", "left"), "sides")
-        old = inside.filter("new is null").groupBy("rep").agg(F.min("other").alias("kept"))
-        inside = inside.filter("new").select("rep", "other")
-        member = copies.unionByName(inside.select("rep").union(copies.select("rep")).distinct().select(F.col("rep").alias("id"), "rep"))
-        of_copies = copies.join(old, "rep").select("id", "kept")
-        repeats = repeats.unionByName(old.select(F.col("rep").alias("id"), "kept")).unionByName(of_copies)
-        token = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("token")
-        near = member.join(inside, "rep").select("id", token("other"), F.lit(False).alias("own"))
-        lines = lines.unionByName(member.select("id", token("rep"), F.lit(True).alias("own"))).unionByName(near)
-    repeats = materialize(repeats.groupBy("id").agg(F.min("kept").alias("kept")), "repeats")
-    # tokens that meet no other row are left out by their hashes; the lines that stay carry the tokens themselves
-    shared = lines.groupBy(F.xxhash64("token").alias("h")).count().filter("count > 1").select("h")
-    shared = checked_broadcast(materialize(shared, "shared"), LOOKUP_ROWS)
-    open_lines = lines.withColumn("h", F.xxhash64("token")).join(shared, "h", "left_semi").drop("h").join(checked_broadcast(repeats.select("id"), LOOKUP_ROWS), "id", "left_anti")
-    decided = materialize(repeats.unionByName(_resolve_groups(materialize(open_lines, "lines"))), "all")
-    gone = checked_broadcast(decided.select("id"), LOOKUP_ROWS)
-    accepted = rows.join(gone, "id", "left_anti")
-    keys = accepted.filter("key is not null").select(F.xxhash64("key").alias("v"), "key", "id")
-    store.append("keys", keys)
-    store.extend_filter("key", keys)
-    if order is not None:
-        fresh = docs.join(gone, "id", "left_anti")
-        store.append("docs", fresh.select("id", "n", "sketch", "more"))
-        store.append("texts", accepted.select("id", "text"))
-        entries = fresh.select(F.explode("vals").alias("v"), "id")
-        store.append("fingerprints", entries)
-        store.extend_filter("fingerprint", entries)
+    if (known := store.decisions(name)) is not None:
+        return known
+    spark, folder = store.spark, f"g-{name}-{uuid.uuid4().hex[:8]}"
+    home = f"{store.path}/{folder}"
+    keep = lambda df, what: save(df, f"{home}/tmp/{what}-{uuid.uuid4().hex[:8]}")
+    batch = batch.filter("id is not null").selectExpr("id", "text" if "text" in batch.columns else "cast(null as string) text", "key")
+    order = store.order(size, threshold, batch, folder)
+    docs, many = keep(sketches(batch, size, threshold, order, "text string, key string"), "docs")
+
+    asked = _posted(docs, "leads").selectExpr("*", f"cast(pmod(xxhash64(v), {store.filter_parts}) as int) part", "cast(null as int) layer", "cast(null as bigint) entries", "cast(null as binary) bits")
+    if (layers := store.filters()) is not None:
+        asked = layers.selectExpr(*[f"cast(null as {t}) {c}" for c, t in (x.split() for x in POSTING.split(", "))], "part", "layer", "entries", "bits").unionByName(asked)
+    screened = asked.repartition(store.filter_parts, "part").sortWithinPartitions("part", F.col("layer").isNull(), "v", "s", "id").mapInArrow(_screen, SCREENED)
+    seen = Observation()
+    count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}"}
+    screened.observe(seen, *[F.expr(f"count_if({x}) {c}") for c, x in count.items()]).write.partitionBy("what").parquet(f"{home}/screened")
+    seen = seen.get
+    shown = f"{POSTING}, dup boolean, known boolean"
+    found = spark.read.schema(shown).parquet(f"{home}/screened/what={VALUE}") if seen["exact"] + seen["shingles"] else spark.createDataFrame([], shown)
+
+    base = found.selectExpr(*POSTING_COLUMNS, "false old")
+    if seen["known"] and (stored := store.accepted()) is not None:
+        base = base.union(_posted(stored, "n > 0").join(checked_broadcast(found.filter("known").select("v").distinct(), seen["known"]), "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
+        base, _ = keep(base, "base")
+    pairs, linked = spark.createDataFrame([], "a long, b long, old boolean"), 0
+    if seen["shingles"]:
+        texts = docs.select("id", "text")
+        texts = texts if (stored := store.accepted()) is None else texts.union(stored.select("id", "text"))
+        shingles = base.filter(F.col("kind") == SHINGLE).selectExpr("v key", "id", "n", "a sketch", "b more", "old")
+        pairs, linked = keep(similar_pairs(shingles, shingles.select("key"), texts, size, threshold, keep), "pairs")
+    exact = base.filter(F.col("kind") < SHINGLE)
+    if 2 * seen["exact"] + linked <= RESOLVE_ROWS:  # a key or signature is stored once
+        lines = exact.union(pairs.selectExpr("b v", f"{PAIR} kind", "a id", "0 n", "0L a", "0L b", "0L s", "old"))
+        decided = lines.coalesce(1).mapInArrow(_in_order, "id long, kept long")
+    else:
+        decided = _in_rounds(exact, pairs, keep)
+    decided, gone = save(decided, f"{home}/decided")
+
+    columns = [c.split()[0] for c in store.ACCEPTED.split(", ")]
+    docs.join(checked_broadcast(decided.select("id"), gone), "id", "left_anti").select(*columns).write.parquet(f"{home}/accepted")
+    entry = {"batch": name, "folder": folder, "size": size, "threshold": threshold, "filter_parts": store.filter_parts, "rows": many, "accepted": many - gone}
+    store.commit(entry | {c: seen[c] for c in ("open", "closed")})
+    delete_path(spark, f"{home}/tmp")
+    delete_path(spark, f"{home}/screened/what={VALUE}")
     return decided

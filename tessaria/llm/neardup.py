@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.llm.words import HASH_BITS, Words, distinct_sorted, mix, packed, parts, shingles
-from tessaria.runtime import checked_broadcast, materialize
+from tessaria.runtime import Save, checked_broadcast, counted, materialize
 
 #: Cells of the document frequencies: a fixed number, so the counts fit the driver and every worker.
 CELLS = 1 << 22
@@ -44,8 +44,6 @@ SHORT = 64
 CHANCE = 1e-6
 #: Postings that one inverted list holds at most before it is split.
 LIST = 1000
-#: Ids of records to verify up to which they are sent to the texts' files instead of shuffling all texts.
-NAMED = 400_000
 #: Pairs judged at once.
 PAIRS = 400_000
 
@@ -75,7 +73,7 @@ def _count(size: int):
         for batch in batches:
             for _, words in _texts(batch, 0):
                 h, _ = distinct_sorted(*shingles(words, size))
-                total += np.bincount(_cells(mix(h ^ np.uint64(size))), minlength=CELLS)
+                np.add.at(total, _cells(mix(h ^ np.uint64(size))), 1)
         grid = total.reshape(-1, CHUNK)
         for i in np.flatnonzero(grid.any(axis=1)):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([grid[i].astype("<i8").tobytes()], pa.binary())})
@@ -83,25 +81,36 @@ def _count(size: int):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal chunks; a task holds one array per chunk it meets, of which there is a fixed number."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(x, dtype="<i8")
-            held[i] = held[i] + c if i in held else c
-    for i, c in held.items():
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
+def _classes(rare: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of the cells of each chunk, from the sums of its counts; a task holds one array per chunk it meets, of a fixed number."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = np.frombuffer(x, dtype="<i8")
+                held[i] = held[i] + c if i in held else c
+        for i, c in held.items():
+            grade = np.maximum(0, np.ceil(np.log2(np.maximum(c, 1) / rare))).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "classes": pa.array([grade.tobytes()], pa.binary())})
+
+    return run
+
+
+ORDER = "chunk int, classes binary"
+
 
+def shingle_order(texts: DataFrame, size: int, rare: int | None = None) -> DataFrame:
+    """(chunk, classes): the class of each cell, from the counts over all texts: 0 up to ``rare`` records (RARE), then one per doubling."""
+    counts = texts.select("text").mapInArrow(_count(size), "chunk int, counts binary")
+    return counts.repartition(16, "chunk").mapInArrow(_classes(rare or RARE), ORDER)
 
-def frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Class of each cell, from the counts over all records: 0 up to RARE records, then one per doubling."""
-    counts = texts.mapInArrow(_count(size), "chunk int, counts binary")
-    summed = counts.repartition(max(1, min(64, CELLS // CHUNK)), "chunk").mapInArrow(_add, "chunk int, counts binary")
-    total = np.zeros(CELLS // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
-    for r in summed.toLocalIterator():  # CELLS numbers in all
-        total[r.chunk] = np.frombuffer(r.counts, dtype="<i8")
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total.ravel(), 1) / RARE))).astype(np.uint8)
+
+def broadcast_order(order: DataFrame):
+    """The order for all workers: CELLS bytes, whatever the size of the collection."""
+    total = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.uint8)
+    for r in order.collect():  # CELLS bytes in all
+        total[r.chunk] = np.frombuffer(r.classes, dtype=np.uint8)
+    return order.sparkSession.sparkContext.broadcast(total.ravel())
 
 
 SKETCHED = "id long, n int, sig1 long, sig2 long, sketch long, more long, vals array<long>, common array<long>"
@@ -146,41 +155,55 @@ def _lists_of(value: np.ndarray, of: np.ndarray, some: np.ndarray, texts: int) -
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(value.view(np.int64)))
 
 
-def _sketch(size: int, threshold: float, classes, common_from: int):
+def _leads(ids: np.ndarray, sig: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of the texts at hand with equal shingles, the one of the smallest id; none of those without a shingle."""
+    order = np.lexsort((ids, n, sig[1], sig[0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (n[order][1:] != n[order][:-1]) | (sig[:, order][:, 1:] != sig[:, order][:, :-1]).any(axis=0)
+    out = np.zeros(len(n), dtype=bool)
+    out[order[new]] = True
+    return out & (n > 0)
+
+
+def _sketch(size: int, threshold: float, classes, common_from: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in _texts(batch, 1):
                 h, t = distinct_sorted(*shingles(words, size))
                 n = np.bincount(t, minlength=words.texts)
-                some = np.flatnonzero(n)
+                some = np.arange(words.texts) if whole else np.flatnonzero(n)
                 if not len(some):
                     continue
-                start = np.searchsorted(t, some)
-                sig = [np.add.reduceat(mix(h + np.uint64(s)), start).view(np.int64) for s in (1, 2)]
+                full = np.flatnonzero(n)
+                sig = np.zeros((2, words.texts), dtype=np.uint64)
+                if len(full):
+                    start = np.searchsorted(t, full)
+                    for k in range(2):
+                        sig[k, full] = np.add.reduceat(mix(h + np.uint64(k + 1)), start)
                 v = mix(h ^ np.uint64(size))
                 order = np.argsort(packed(_ranks(v, classes.value), t))
                 kept = _first_per_text(order, t, np.floor((1 - threshold) * n + 1e-9).astype(np.int64) + 1)
                 value, of = v[kept], t[kept]  # texts are in order
                 common = classes.value[_cells(value)] >= common_from
-                bits = [pa.array(b[some].view(np.int64)) for b in _bits(h, t, n)]
+                bits = [pa.array(b[some].view(np.int64)) for b in (*sig, *_bits(h, t, n))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(some)), pa.array(n[some].astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]), *bits,
-                     _lists_of(value, of, some, words.texts), _lists_of(value[common], of[common], some, words.texts)],
-                    names=["id", "n", "sig1", "sig2", "sketch", "more", "vals", "common"],
+                    [part.column(0).take(pa.array(some)), pa.array(n[some].astype(np.int32)), *bits, _lists_of(value, of, some, words.texts), _lists_of(value[common], of[common], some, words.texts),
+                     *([pa.array(_leads(part.column(0).to_numpy(), sig, n)), *part.columns[1:]] if whole else [])],
+                    names=["id", "n", "sig1", "sig2", "sketch", "more", "vals", "common", *(["leads", *part.schema.names[1:]] if whole else [])],
                 )
 
     return run
 
 
-def shared_order(texts: DataFrame, size: int):
-    """The order of shingles by rarity for all workers: CELLS bytes, whatever the size of the collection."""
-    return texts.sparkSession.sparkContext.broadcast(frequencies(texts.select("text"), size))
-
+def sketches(texts: DataFrame, size: int, threshold: float, order, carried: str | None = None) -> DataFrame:
+    """(id, text) -> one row per record with a shingle: size, signature, sketch and prefix, of which ``common`` may be in over LIST records.
 
-def sketches(texts: DataFrame, size: int, threshold: float, order) -> DataFrame:
-    """(id, text) -> one row per record with a shingle: size, signature, sketch and prefix, of which ``common`` may be in over LIST records."""
+    With ``carried``, the schema of the columns behind id (text first), every record has a row and they go along; ``leads`` then marks, of
+    the copies that came up together, the one with the smallest id.
+    """
     common_from = next(c for c in range(256) if RARE << c > LIST)
-    return texts.select("id", "text").mapInArrow(_sketch(size, threshold, order, common_from), SKETCHED)
+    run = _sketch(size, threshold, order, common_from, carried is not None)
+    return texts.mapInArrow(run, SKETCHED + (f", leads boolean, {carried}" if carried else ""))
 
 
 def _most_differing(threshold: float) -> int:
@@ -224,8 +247,10 @@ def _judge(key: np.ndarray, table: pa.Table, threshold: float) -> Iterator[pa.Re
             ok = few | ((n[x] <= SHORT) != (n[y] <= SHORT))
             lo, hi = np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])
             if len(lo):
-                p = np.unique(np.stack([lo, hi], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+                known = old[x[ok]] | old[y[ok]]  # at most one of both; it comes first
+                lo, hi = np.where(old[x[ok]], ids[x[ok]], np.where(known, ids[y[ok]], lo)), np.where(old[x[ok]], ids[y[ok]], np.where(known, ids[x[ok]], hi))
+                p = np.unique(np.stack([lo, hi, known], axis=1), axis=0)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "old": pa.array(p[:, 2].astype(bool))})
         a = b
 
 
@@ -254,17 +279,18 @@ def _pair_lists(threshold: float):
     return run
 
 
-def _lists(base: DataFrame, common: DataFrame) -> DataFrame:
+def _lists(base: DataFrame, common: DataFrame, save: Save) -> DataFrame:
     """Postings (key, id, n, sketch, more, old) -> (key, id, n, sketch, more, old, block), lists of at most about LIST each.
 
     A longer list is dealt into blocks, and every two of its blocks meet in a list of their own: each pair of its postings
     stays together once. ``common`` has a row (key) for each posting whose list may be so long.
     """
-    hot = materialize(common.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "hot")
+    long = common.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
+    hot, many = save(long, "hot")
     plain = base.select("key", "id", "n", "sketch", "more", "old", F.lit(-1).alias("block"))
-    if hot.isEmpty():
+    if not many:
         return plain
-    hot = checked_broadcast(hot, NAMED)
+    hot = checked_broadcast(hot, many)
     plain = plain.join(hot.select("key"), "key", "left_anti")
     split = base.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = split.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -275,22 +301,37 @@ def _lists(base: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def _verify(size: int, threshold: float):
+    """Rows (a, b, old, second, text), the two sides of a pair one behind the other -> pairs whose texts are alike enough."""
     f = Fraction(threshold).limit_denominator(10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = None, None
         for batch in batches:
-            length = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in (2, 3))
-            for i, j in parts(length):
-                part = batch.slice(i, j - i)
-                m = part.num_rows
-                words = Words([x or "" for c in (2, 3) for x in part.column(c).to_pylist()])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 3)])
+            before = np.concatenate([keys[:, :1] - 1 if last is None else last, keys[:, :-1]], axis=1)
+            last = keys[:, -1:]
+            batch = batch.filter(pa.array((keys != before).any(axis=0)))  # an id that texts repeat counts once
+            whole = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            if not whole:
+                continue
+            whole = whole[0]
+            even = whole.num_rows // 2 * 2
+            rest = whole.slice(even) if even < whole.num_rows else None
+            sides = whole.slice(0, even)
+            size_of = pc.fill_null(pc.binary_length(sides.column(4)), 0).to_numpy(zero_copy_only=False)
+            for i, j in parts(size_of[::2] + size_of[1::2]):
+                part = sides.slice(2 * i, 2 * (j - i))
+                m = j - i
+                words = Words([x or "" for x in part.column(4).to_pylist()])
                 h, t = distinct_sorted(*shingles(words, size))
                 n = np.bincount(t, minlength=2 * m)
-                k = np.sort(packed(h, t % m))  # each side's shingles are distinct: equal neighbours are shared ones
+                k = np.sort(packed(h, t >> 1))  # each side's shingles are distinct: equal neighbours are shared ones
                 both = np.bincount((k[1:][k[1:] == k[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=m)
-                union = n[:m] + n[m:] - both
+                union = n[::2] + n[1::2] - both
                 ok = (both * f.denominator >= f.numerator * union) & (union > 0)
-                yield part.select([0, 1]).filter(pa.array(ok))
+                yield part.select([0, 1, 2]).take(pa.array(np.flatnonzero(ok) * 2))
 
     return run
 
@@ -299,14 +340,16 @@ def postings(docs: DataFrame, old: bool = False) -> DataFrame:
     return docs.select("id", "n", "sketch", "more", F.explode("vals").alias("key"), F.lit(old).alias("old"))
 
 
-def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(a, b) with a < b: pairs of the posted records, not both old, that are at least ``threshold`` alike."""
-    lists = _lists(base, common).repartition("key").sortWithinPartitions("key")
-    near = materialize(lists.mapInArrow(_pair_lists(threshold), "a long, b long").distinct(), "near")
-    named = checked_broadcast(materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "named"), NAMED)
-    wanted = texts.select("id", "text").join(named, "id", "left_semi")
-    sides = near.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return sides.select("a", "b", "ta", "tb").mapInArrow(_verify(size, threshold), "a long, b long")
+def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float, save: Save = counted) -> DataFrame:
+    """(a, b, old): pairs of the posted records that are at least ``threshold`` alike, not both old; a is the old or the smaller one."""
+    lists = _lists(base, common, save).repartition("key").sortWithinPartitions("key")
+    near, many = save(lists.mapInArrow(_pair_lists(threshold), "a long, b long, old boolean").distinct(), "near")
+    if not many:
+        return near
+    sides = near.select("a", "b", "old", F.explode(F.array(F.struct(F.lit(False).alias("second"), F.col("a").alias("id")), F.struct(F.lit(True).alias("second"), F.col("b").alias("id")))).alias("s"))
+    # the texts are read once: where the ids of the pairs are small enough to be sent to them, only the named texts move
+    named = texts.select("id", "text").join(checked_broadcast(sides.select("a", "b", "old", "s.second", "s.id"), 2 * many), "id").select("a", "b", "old", "second", "text")
+    return named.repartition("a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(_verify(size, threshold), "a long, b long, old boolean")
 
 
 def near_duplicates(df: DataFrame, id_column: str, columns: list[str], size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -316,12 +359,12 @@ def near_duplicates(df: DataFrame, id_column: str, columns: list[str], size: int
     copies represent themselves and have no row in ``members``.
     """
     texts = df.select(F.col(id_column).cast("long").alias("id"), joined_text(columns).alias("text")).filter("id is not null")
-    docs = materialize(sketches(texts, size, threshold, shared_order(texts, size)), "sketches")
+    docs = materialize(sketches(texts, size, threshold, broadcast_order(shingle_order(texts, size))), "sketches")
     equal = ["sig1", "sig2", "n"]
     copied = docs.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     members = materialize(docs.join(copied, equal).select("id", "rep"), "members")
     single = docs.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    return similar_pairs(postings(single), docs.select(F.explode("common").alias("key")), texts, size, threshold), members
+    return similar_pairs(postings(single), docs.select(F.explode("common").alias("key")), texts, size, threshold).select("a", "b"), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:

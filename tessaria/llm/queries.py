@@ -12,7 +12,7 @@ from tessaria.llm.encode import encode_corpus
 from tessaria.llm.history import Store, admit
 from tessaria.llm.leaks import find_leaks
 from tessaria.llm.mainbody import main_body
-from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates, shared_order
+from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates
 from tessaria.llm.subjects import subject_areas
 from tessaria.runtime import key, table
 
@@ -44,29 +44,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(pairs, members, "item_id_a", "item_id_b")
 
 
-#: Arrival batches admitted at once when a whole table is replayed; the result doesn't depend on it.
-BATCHES_AT_ONCE = 12
-
-
-def _replay(rows: DataFrame, order=None) -> DataFrame:
-    """Admit the rows (id, batch_no, key[, text]) in order of arrival, some batches at a time."""
-    spark = rows.sparkSession
-    store = Store(spark)
-    no = F.coalesce("batch_no", F.lit(0))
-    first, last = (x or 0 for x in rows.agg(F.min(no), F.max(no)).first())
-    decided = []
-    for at in range(first, last + 1, BATCHES_AT_ONCE):
-        some = rows.filter((no >= at) & (no < at + BATCHES_AT_ONCE))
-        decided.append(admit(store, some.drop("batch_no"), ITEM_WORDS, ITEM_SIMILARITY, order))
-    return reduce(DataFrame.unionByName, decided)
+def _replay(rows: DataFrame) -> DataFrame:
+    """Admit the rows (id, batch_no, key[, text]) batch by batch in order of arrival; no batch number counts as 0."""
+    store, no = Store(rows.sparkSession), F.coalesce("batch_no", F.lit(0))
+    numbers = sorted(r.n for r in rows.select(no.alias("n")).distinct().collect())  # one per batch
+    decided = [admit(store, rows.filter(no == n).drop("batch_no"), n, ITEM_WORDS, ITEM_SIMILARITY) for n in numbers]
+    return reduce(DataFrame.unionByName, decided) if decided else rows.select("id", F.col("id").alias("kept"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "raw_items").select(F.col("item_id").alias("id"), F.col("batch_no") - 1, key("raw_hash").alias("key"), joined_text(ITEM_TEXT).alias("text")).toDF("id", "batch_no", "key", "text")
-    events = table(spark, sf_dir, "cyber_events").select(F.col("event_row").alias("id"), F.col("batch_no") - 1, key("id").alias("e"), key("fingerprint").alias("f")).toDF("id", "batch_no", "e", "f")
-    events = events.filter("f is not null and e is not null").select("id", "batch_no", F.concat_ws("\x1f", "e", "f").alias("key"))
-    found = [("raw_items", _replay(items, shared_order(items, ITEM_WORDS))), ("cyber_events", _replay(events))]
-    return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("tbl"), F.col("kept").alias("kept_id"), F.col("id").alias("dup_id")) for name, d in found])
+    """Both tables go through one store: ids are doubled, odd ones for events, and keys name their table, so rows of different
+    tables never match. Events have no text."""
+    sep = F.lit("\x1f")
+    items = table(spark, sf_dir, "raw_items").select((F.col("item_id") * 2).alias("id"), "batch_no", F.concat(F.lit("r"), sep, key("raw_hash")).alias("key"), joined_text(ITEM_TEXT).alias("text"))
+    events = table(spark, sf_dir, "cyber_events").select((F.col("event_row") * 2 + 1).alias("id"), "batch_no", F.concat(F.lit("e"), sep, key("id"), sep, key("fingerprint")).alias("key"), F.lit(None).cast("string").alias("text"))
+    found = _replay(items.unionByName(events.filter("key is not null")))
+    row = lambda c: F.shiftright(c, 1)
+    return found.select(F.when(F.col("id") % 2 == 0, "raw_items").otherwise("cyber_events").alias("tbl"), row("kept").alias("kept_id"), row("id").alias("dup_id"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

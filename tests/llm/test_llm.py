@@ -187,18 +187,48 @@ def greedy(texts, keys, t):
     return found
 
 
-@pytest.mark.parametrize("most", [1, 1_000_000])
+@pytest.mark.parametrize("most", [0, 1_000_000])
 def test_admit(spark, monkeypatch, most):
-    monkeypatch.setattr(history, "RESOLVE_LINES", most)
+    """Each batch comes in a session of its own, which opens the store anew and knows no later text."""
+    monkeypatch.setattr(history, "RESOLVE_ROWS", most)
+    monkeypatch.setattr(history, "CAPACITY", 200)  # layers are closed and opened
     texts = corpus()
     rng.shuffle(texts)
     keys = [rng.choice([None, f"k{rng.randrange(150)}"]) for _ in texts]
     df = spark.createDataFrame([(i, i * 3 // len(texts), k, x or "") for i, (x, k) in enumerate(zip(texts, keys, strict=True))], "id long, batch_no int, key string, text string")
-    order = neardup.shared_order(df, 3)
-    store, got = history.Store(spark), {}
+    path, got = history.Store(spark).path, {}
     for b in range(4):  # the last batch is empty
-        got |= {r.id: r.kept for r in history.admit(store, df.filter(F.col("batch_no") == b).drop("batch_no"), 3, 0.7, order).collect()}
+        got |= {r.id: r.kept for r in history.admit(history.Store(spark, path), df.filter(F.col("batch_no") == b).drop("batch_no"), b, 3, 0.7).collect()}
     assert got == greedy(texts, keys, 0.7)
+    again = history.admit(history.Store(spark, path), df.filter("batch_no = 1").drop("batch_no"), 1, 3, 0.7)
+    assert {r.id: r.kept for r in again.collect()} == {i: k for i, k in got.items() if i * 3 // len(texts) == 1}
+    with pytest.raises(ValueError, match="another size"):
+        history.admit(history.Store(spark, path), df.drop("batch_no"), 9, 5, 0.8)
+
+
+def test_admit_failure_leaves_nothing(spark, monkeypatch):
+    store = history.Store(spark)
+    rows = spark.createDataFrame([(1, "a", "one two three four"), (2, "b", "one two three four")], "id long, key string, text string")
+    monkeypatch.setattr(history.Store, "commit", lambda self, entry: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        history.admit(store, rows, 0, 3, 0.7)
+    monkeypatch.undo()
+    store = history.Store(spark, store.path)
+    assert not store.commits and [tuple(r) for r in history.admit(store, rows, 0, 3, 0.7).collect()] == [(2, 1)]
+
+
+def test_admit_order_of_rarity_from_first_batch(spark):
+    """Runs that become frequent only later: every near-duplicate of an earlier batch is found."""
+    vocabulary = [f"w{i}" for i in range(4000)]
+    late = " ".join(f"late{i}" for i in range(30))
+    first = [" ".join(rng.choice(vocabulary) for _ in range(60)) + (f" {late}" if i < 2 else "") for i in range(60)]
+    second = [edited(x, 2) for x in first] + [" ".join(rng.choice(vocabulary) for _ in range(40)) + f" {late}" for _ in range(80)]
+    texts = first + second
+    df = spark.createDataFrame([(i, None, x) for i, x in enumerate(texts)], "id long, key string, text string")
+    path, got = history.Store(spark).path, {}
+    for b, some in enumerate(("id < 60", "id >= 60")):
+        got |= {r.id: r.kept for r in history.admit(history.Store(spark, path), df.filter(some), b, 3, 0.7).collect()}
+    assert len(got) >= 50 and got == greedy(texts, [None] * len(texts), 0.7)
 
 
 def test_replay_early_batches(spark):
@@ -209,8 +239,8 @@ def test_replay_early_batches(spark):
 
 def test_admit_keys_only(spark):
     store = history.Store(spark)
-    first = history.admit(store, spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, key string")).collect()
-    second = history.admit(store, spark.createDataFrame([(5, "b"), (6, None), (7, "c")], "id long, key string")).collect()
+    first = history.admit(store, spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, key string"), 0).collect()
+    second = history.admit(store, spark.createDataFrame([(5, "b"), (6, None), (7, "c")], "id long, key string"), 1).collect()
     assert [tuple(r) for r in first] == [(2, 1)] and [tuple(r) for r in second] == [(5, 4)]
 
 
