@@ -8,9 +8,9 @@ then on. A batch goes through these steps:
 1. Prescreen. The values of the batch travel to their filter's partition, behind the filter itself. Values that the
    filter doesn't know and that only one row of the batch has are done: nothing of the history is read for them.
    The same pass adds the values to the filter.
-2. Lookup. Possible members are looked up in the store. Shared keys and signatures are repeats at once;
-   shared fingerprints bring up pairs of a new row with an accepted one or with another new row, which are judged
-   by their sketches and verified by exact Jaccard over the whole texts.
+2. Lookup. Possible members are looked up in the store, whose rows stay where they are while the batch's values come to them.
+   Shared keys and signatures are repeats at once; shared fingerprints bring up pairs of a new row with an accepted one or
+   with another new row, which are judged by their sketches where they meet and verified by exact Jaccard over the whole texts.
 3. Decision. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id and
    accepted unless they repeat an accepted one: in one task while they are few, else in rounds over the cluster.
 4. Update. The accepted rows and the filters become part of the store by one small file, which
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.llm.neardup import ORDER, broadcast_order, shingle_order, similar_pairs, sketches
+from tessaria.llm.neardup import ORDER, broadcast_order, candidate_pairs, shingle_order, sketches, verified_pairs, within_reach
 from tessaria.llm.words import mix
 from tessaria.runtime import Save, checked_broadcast, delete_path, fresh_path, get_files, put_file, save
 
@@ -46,8 +46,8 @@ FILTER_PARTS, FILTER_BITS, CAPACITY = 8, 1 << 21, 200_000
 FILTER_HASHES = 5
 #: Rows and pairs that one task decides; beyond, the cluster decides in rounds.
 RESOLVE_ROWS = 1_000_000
-#: Records that share a shingle of the first batch from which it counts as frequent.
-RARE = 4
+#: Records of the first batch up to which a shingle of theirs is of the rarest class; above, each doubling is one.
+RARE = 1
 
 #: Kinds of values: exact keys, signatures of whole texts, fingerprints; and of a line that holds a pair.
 KEY, SIGNATURE, SHINGLE, PAIR = 0, 1, 2, 3
@@ -175,16 +175,13 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from layers()
 
 
-_NONE = "cast(array() as array<struct<v:bigint,kind:int,n:int,a:bigint,b:bigint,s:bigint>>)"
-
-
 def _posted(docs: DataFrame, leads: str) -> DataFrame:
     """Postings of rows (id, key, n, sig1, sig2, sketch, more, vals): of the key, where there is one, of a text's signature, and of the
-    fingerprints of rows that lead."""
-    of_key = f"if(key is null, {_NONE}, array(named_struct('v', xxhash64('key', key), 'kind', {KEY}, 'n', 0, 'a', xxhash64(key, 'again'), 'b', 0L, 's', 0L)))"
-    of_signature = f"if(n = 0, {_NONE}, array(named_struct('v', xxhash64('text', sig1, n), 'kind', {SIGNATURE}, 'n', n, 'a', sig1, 'b', sig2, 's', 0L)))"
-    of_text = f"if({leads}, transform(vals, x -> named_struct('v', x, 'kind', {SHINGLE}, 'n', n, 'a', sketch, 'b', more, 's', sig1)), {_NONE})"
-    return docs.selectExpr("id", f"inline(concat({of_key}, {of_signature}, {of_text}))").select(*POSTING_COLUMNS)
+    fingerprints of rows that lead. Three plain scans, each of its own columns only and generated code throughout."""
+    of_key = docs.filter("key is not null").selectExpr("xxhash64('key', key) v", f"{KEY} kind", "id", "0 n", "xxhash64(key, 'again') a", "0L b", "0L s")
+    of_signature = docs.filter("n > 0").selectExpr("xxhash64('text', sig1, n) v", f"{SIGNATURE} kind", "id", "n", "sig1 a", "sig2 b", "0L s")
+    of_text = docs.filter(leads).selectExpr("explode(vals) v", f"{SHINGLE} kind", "id", "n", "sketch a", "more b", "sig1 s")
+    return of_key.union(of_signature).union(of_text)
 
 
 class Store:
@@ -338,26 +335,35 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
         asked = layers.selectExpr(*[f"cast(null as {t}) {c}" for c, t in (x.split() for x in POSTING.split(", "))], "part", "layer", "entries", "bits").unionByName(asked)
     screened = asked.repartition(store.filter_parts, "part").sortWithinPartitions("part", F.col("layer").isNull(), "v", "s", "id").mapInArrow(_screen, SCREENED)
     seen = Observation()
-    count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}"}
+    count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}", "known_exact": f"known and kind < {SHINGLE}", "known_shingles": f"known and kind = {SHINGLE}"}
     screened.observe(seen, *[F.expr(f"count_if({x}) {c}") for c, x in count.items()]).write.partitionBy("what").parquet(f"{home}/screened")
     seen = seen.get
     shown = f"{POSTING}, dup boolean, known boolean"
     found = spark.read.schema(shown).parquet(f"{home}/screened/what={VALUE}") if seen["exact"] + seen["shingles"] else spark.createDataFrame([], shown)
 
-    base = found.selectExpr(*POSTING_COLUMNS, "false old")
-    if seen["known"] and (stored := store.accepted()) is not None:
-        base = base.union(_posted(stored, "n > 0").join(checked_broadcast(found.filter("known").select("v").distinct(), seen["known"]), "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
-        base, _ = keep(base, "base")
-    pairs, linked = spark.createDataFrame([], "a long, b long, old boolean"), 0
+    stored = store.accepted() if seen["known"] else None
+    exact = found.filter(F.col("kind") < SHINGLE).selectExpr(*POSTING_COLUMNS, "false old")
+    near = None
     if seen["shingles"]:
-        texts = docs.select("id", "text")
-        texts = texts if (stored := store.accepted()) is None else texts.union(stored.select("id", "text"))
-        shingles = base.filter(F.col("kind") == SHINGLE).selectExpr("v key", "id", "n", "a sketch", "b more", "old")
-        pairs, linked = keep(similar_pairs(shingles, shingles.select("key"), texts, size, threshold, keep), "pairs")
-    exact = base.filter(F.col("kind") < SHINGLE)
+        dup = found.filter(f"dup and kind = {SHINGLE}").selectExpr("v key", "id", "n", "a sketch", "b more", "false old")
+        near = candidate_pairs(dup, dup.select("key"), threshold, keep)
+    if stored is not None:
+        asked = checked_broadcast(found.filter(f"known and kind < {SHINGLE}").select("v").distinct(), seen["known_exact"])
+        exact = exact.union(_posted(stored, "false").join(asked, "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
+    if stored is not None and seen["known_shingles"]:
+        # the batch's values go to the store's rows, which stay where they are; a pair is judged where it meets
+        asked = checked_broadcast(found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more"), seen["known_shingles"])
+        posted = stored.selectExpr("explode(vals) v", "id", "n", "sketch", "more")
+        met = posted.alias("x").join(asked.alias("y"), F.expr(f"x.v = y.v and {within_reach(threshold, 'x', 'y')}")).selectExpr("x.id a", "y.id b", "true old")
+        near = near.union(met)
+    pairs, linked = spark.createDataFrame([], "a long, b long, old boolean"), 0
+    if near is not None:
+        near, many_near = keep(near.distinct(), "near")
+        texts = docs.select("id", "text") if stored is None else docs.select("id", "text").union(stored.select("id", "text"))
+        pairs, linked = keep(verified_pairs(near, many_near, texts, size, threshold), "pairs") if many_near else (near, 0)
     if 2 * seen["exact"] + linked <= RESOLVE_ROWS:  # a key or signature is stored once
         lines = exact.union(pairs.selectExpr("b v", f"{PAIR} kind", "a id", "0 n", "0L a", "0L b", "0L s", "old"))
-        decided = lines.coalesce(1).mapInArrow(_in_order, "id long, kept long")
+        decided = lines.repartition(1).mapInArrow(_in_order, "id long, kept long")
     else:
         decided = _in_rounds(exact, pairs, keep)
     decided, gone = save(decided, f"{home}/decided")

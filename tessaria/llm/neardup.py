@@ -340,18 +340,35 @@ def postings(docs: DataFrame, old: bool = False) -> DataFrame:
     return docs.select("id", "n", "sketch", "more", F.explode("vals").alias("key"), F.lit(old).alias("old"))
 
 
-def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float, save: Save = counted) -> DataFrame:
-    """(a, b, old): pairs of the posted records that are at least ``threshold`` alike, not both old; a is the old or the smaller one."""
+def candidate_pairs(base: DataFrame, common: DataFrame, threshold: float, save: Save = counted) -> DataFrame:
+    """(a, b, old), as often as they meet: pairs of the posted records whose sketches are within reach, not both old; a is the old or the
+    smaller one."""
     lists = _lists(base, common, save).repartition("key").sortWithinPartitions("key")
-    near, many = save(lists.mapInArrow(_pair_lists(threshold), "a long, b long, old boolean").distinct(), "near")
-    if not many:
-        return near
+    return lists.mapInArrow(_pair_lists(threshold), "a long, b long, old boolean")
+
+
+def within_reach(threshold: float, x: str, y: str) -> str:
+    """:func:`_judge`'s condition on columns n, sketch and more of two sides, in generated code."""
+    n, m = f"{x}.n", f"{y}.n"
+    differing = f"bit_count({x}.sketch ^ {y}.sketch) + bit_count({x}.more ^ {y}.more)"
+    reach = (1 - threshold) / (1 + threshold)
+    few = f"{differing} <= if({n} <= {SHORT}, {reach!r}D * ({n} + {m}) + 1e-9D, {_most_differing(threshold)})"
+    return f"least({n}, {m}) >= {threshold!r}D * greatest({n}, {m}) - 1e-9D and (({n} <= {SHORT}) <> ({m} <= {SHORT}) or {few})"
+
+
+def verified_pairs(near: DataFrame, many: int, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Of so many distinct pairs (a, b, old), written already, those whose texts are at least ``threshold`` alike."""
     sides = near.select("a", "b", "old", F.explode(F.array(F.struct(F.lit(False).alias("second"), F.col("a").alias("id")), F.struct(F.lit(True).alias("second"), F.col("b").alias("id")))).alias("s"))
     # the texts are read once: where the ids of the pairs are small enough to be sent to them, only the named texts move
     named = texts.select("id", "text").join(checked_broadcast(sides.select("a", "b", "old", "s.second", "s.id"), 2 * many), "id").select("a", "b", "old", "second", "text")
     return named.repartition("a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(_verify(size, threshold), "a long, b long, old boolean")
 
 
+def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float, save: Save = counted) -> DataFrame:
+    near, many = save(candidate_pairs(base, common, threshold, save).distinct(), "near")
+    return verified_pairs(near, many, texts, size, threshold) if many else near
+
+
 def near_duplicates(df: DataFrame, id_column: str, columns: list[str], size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b) of class representatives, and (id, rep) of the records that have copies.
 
