@@ -156,7 +156,7 @@ class Index:
         p, r = self.normal.first_word[item], self.normal.first_word[item + 1]
         chars = docs.word_start[a:b] - docs.first_char[doc]
         own = self.normal.word_start[p:r] - self.normal.first_char[item]
-        slack = self.max_edits * 64
+        slack = self.max_edits * (1 + int(max(docs.word_length[a:b].max(), self.normal.word_length[p:r].max()))) if b > a and r > p else 0
         left = np.searchsorted(chars, own + lo - slack)
         right = np.searchsorted(chars, own + hi + slack, side="right")
         d, w = docs.word_hash[a:b], self.normal.word_hash[p:r]
@@ -214,10 +214,13 @@ def find_leaks(
     for k in range(blocks):
         # bounded: block_chars characters on average
         rows = wanted.filter(F.pmod(F.xxhash64("eval_id", "passage"), F.lit(blocks)) == k).collect() if blocks > 1 else wanted.collect()
-        shared = spark.sparkContext.broadcast([r.passage for r in rows])
+        shared = spark.sparkContext.broadcast({"passages": [r.passage for r in rows]})
 
         def index_of(shared=shared):
-            return Index(shared.value, need, max_edits)
+            held = shared.value  # one object for all tasks of a worker, which keeps the index with it
+            if "index" not in held:
+                held["index"] = Index(held["passages"], need, max_edits)
+            return held["index"]
 
         found = docs.mapInArrow(_search(pa.int64(), pa.int64(), [r.eval_id for r in rows], index_of), "doc_id long, eval_id long")
         out = found if out is None else out.unionByName(found)

@@ -76,7 +76,23 @@ def _key(c: str) -> str:
     return f"nullif(lower(trim({c}, {_BLANKS})), '')"
 
 
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
 SQL = {
+    "p6_found": f"""
+WITH w AS (SELECT item_id AS i, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '')")} AS x FROM raw_items),
+s AS (SELECT DISTINCT i, hash(x[k], x[k + 1], x[k + 2]) AS h FROM (SELECT i, x, unnest(range(1, len(x) - 1)) AS k FROM w WHERE len(x) >= 3)),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+b AS (SELECT a.i AS a, b.i AS b, count(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.i < b.i GROUP BY a.i, b.i)
+SELECT a AS item_id_a, b AS item_id_b FROM b JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 10 * m >= 7 * (x.n + y.n - m)
+""",
+    "p8_found": f"""
+WITH e AS (SELECT eval_id, {_WORDS.format("passage")} AS x FROM eval_items WHERE passage IS NOT NULL), k AS (SELECT eval_id, x, least(10, len(x)) AS k FROM e WHERE len(x) > 0),
+g AS (SELECT DISTINCT eval_id, k, array_to_string(x[j : j + k - 1], ' ') AS g FROM (SELECT eval_id, x, k, unnest(range(1, len(x) - k + 2)) AS j FROM k)),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS x FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, q.k AS k, array_to_string(x[j : j + q.k - 1], ' ') AS g FROM (SELECT doc_id, x, q.k AS k, unnest(range(1, len(x) - q.k + 2)) AS j FROM d, (SELECT DISTINCT k FROM g) q) q)
+SELECT DISTINCT doc_id, eval_id FROM r JOIN g ON r.k = g.k AND r.g = g.g
+""",
     "p1_found": f"""
 WITH RECURSIVE m AS (SELECT DISTINCT event_row r, h FROM (SELECT event_row, {_key("x")} h FROM (SELECT event_row, unnest(member_hashes) x FROM cyber_events)) WHERE h IS NOT NULL),
 f AS (SELECT r, min(h) c FROM m GROUP BY r),

@@ -138,9 +138,9 @@ def _wanted(labels: DataFrame) -> DataFrame:
 def find_seeds(documents: DataFrame, labels: DataFrame) -> Seeds:
     wanted = checked_broadcast(materialize(_wanted(labels), "labelled"), LABELLED)
     docs = materialize(documents.join(wanted, "doc_id").select("text", F.coalesce("lang", F.lit("")).alias("lang"), "subjects"), "seeds")
-    languages = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    languages = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1).collect()]
     spot = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) if languages else F.lit(0)
-    at = F.when(spot > 0, spot - 1).otherwise(0)
+    at = F.when(spot > 0, spot - 1).otherwise(LANGUAGES - 1)  # the last place is for all other languages
     code = lambda s: F.when(s == "none", -2).otherwise(F.array_position(F.array(*map(F.lit, SUBJECTS)), s) - 1)
     groups = F.filter(F.transform("subjects", lambda s: F.when(s == "none", F.lit(-2)).otherwise(code(s) * LANGUAGES + at).cast("int")), lambda g: g >= 0)
     coded = docs.select("text", groups.alias("groups"))
@@ -311,8 +311,9 @@ def embed(encoded: DataFrame, vocabulary: Seeds) -> Model:
     n = len(vocabulary.words)
     gram = np.zeros((n, n))
     sums = encoded.mapInArrow(_pairs, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    for r in sums.toLocalIterator():  # at most VOCABULARY squared, in parts
-        gram[r.i, r.j] = gram[r.j, r.i] = r.n
+    found = sums.toArrow()  # at most VOCABULARY squared / 2 rows of 16 bytes
+    i, j, many = (found.column(c).to_numpy() for c in ("i", "j", "n"))
+    gram[i, j] = gram[j, i] = many
     degree = gram.sum(axis=1)  # frequent company weighs a word down, so that small languages and subjects count as much
     weight = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1)), 0)
     values, vectors = np.linalg.eigh(gram * weight[:, None] * weight[None, :])
@@ -343,7 +344,8 @@ def _refine(model):
             if batch.num_rows:
                 x, top, about, _ = _judge(model.value, batch)
                 np.add.at(total, top[about], x[about])
-        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
+        group, place = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"g": pa.array(group.astype(np.int32)), "d": pa.array(place.astype(np.int32)), "x": pa.array(total[group, place])})
 
     return run
 
@@ -380,10 +382,9 @@ def subject_areas(documents: DataFrame, labels: DataFrame) -> DataFrame:
     encoded = materialize(docs.select("doc_id", "text").mapInArrow(_encode(share(vocabulary)), ENCODED), "encoded")
     model = embed(encoded, vocabulary)
     for _ in range(ROUNDS):
-        sums = encoded.mapInArrow(_refine(share(model)), "s binary")
+        sums = encoded.mapInArrow(_refine(share(model)), "g int, d int, x double").groupBy("g", "d").agg(F.sum("x").alias("x")).toArrow()  # as many numbers as the centroids have
         total = np.zeros(model.centroid.shape)
-        for r in sums.toLocalIterator():  # one small array per task
-            total += np.frombuffer(r.s).reshape(total.shape)
+        total[sums.column("g").to_numpy(), sums.column("d").to_numpy()] = sums.column("x").to_numpy()
         some = np.linalg.norm(total, axis=1) > 0
         model.centroid[some] = _unit(total[some]).astype(np.float32)
     return encoded.mapInArrow(_assign(share(model)), "doc_id long, subject string")
