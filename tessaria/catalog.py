@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessaria.queries import events, general
+from tessaria.queries import events, general, records
 
-MODULES = [general, events]
+MODULES = [general, events, records]
 
 
 def queries() -> dict:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of identifiers, and of cluster names as reports write them.
 CVE = r"(?i)\bCVE-\d{4}-\d{4,7}\b"
 CWE = r"(?i)\bCWE-\d{1,6}\b"
+ACTOR_CASED = r"\b(?:UNC\d{3,5}|APT\d{1,3})\b"
 ACTOR = r"(?i)\b(?:APT\d{1,3}|UNC\d{3,5}|TA\d{3,5})\b"
 
 

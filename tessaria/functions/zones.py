@@ -15,8 +15,9 @@ from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 
-#: Years the tables cover; outside, the first and last offsets hold.
-FIRST_YEAR, LAST_YEAR = 1970, 2050
+#: Years the tables cover. Before, the first offset holds; after, the rules in force at the end go on: a year takes the offsets of a
+#: covered year of the same length that begins on the same weekday.
+FIRST_YEAR, LAST_YEAR = 1880, 2066
 
 _DAY = 86_400
 
@@ -35,6 +36,19 @@ def version() -> str:
         return "system"
 
 
+#: The last covered wall clock, a day early, so that no zone's last covered year is cut.
+_END = int(datetime(LAST_YEAR, 1, 1, tzinfo=UTC).timestamp()) - 2 * _DAY
+
+
+@lru_cache(maxsize=1)
+def _shifts() -> np.ndarray:
+    """Seconds from the year of the same shape within the last 28 covered years to each of the 400 years after them."""
+    first = lambda y: datetime(y, 1, 1, tzinfo=UTC)
+    shape = lambda y: (first(y).weekday(), (first(y + 1) - first(y)).days)
+    like = {shape(y): y for y in range(LAST_YEAR - 29, LAST_YEAR - 1)}
+    return np.array([int((first(y) - first(like[shape(y)])).total_seconds()) for y in range(LAST_YEAR, LAST_YEAR + 400)], dtype=np.int64)
+
+
 class ZoneTable:
     """Transitions of one zone: ``at[i]`` is the instant from which ``offset[i + 1]`` holds."""
 
@@ -46,6 +60,15 @@ class ZoneTable:
 
     def to_utc(self, wall: np.ndarray) -> np.ndarray:
         """Wall-clock seconds to UTC seconds."""
+        late = wall >= _END
+        if late.any():
+            out = np.empty_like(wall)
+            out[~late] = self.to_utc(wall[~late])
+            year = np.datetime64(0, "Y") + wall[late].astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64)
+            shift = _shifts()[(year.astype(np.int64) + 1970 - LAST_YEAR) % 400]
+            cycles = (year.astype(np.int64) + 1970 - LAST_YEAR) // 400 * (146_097 * _DAY)
+            out[late] = self.to_utc(wall[late] - cycles - shift) + cycles + shift
+            return out
         return wall - self.offset[np.searchsorted(self.wall_switch, wall, side="right")]
 
 

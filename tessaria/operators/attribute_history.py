@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaria.runtime import key
+from tessaria.runtime import key, materialize
 
 #: Width of a time bucket in microseconds (a week).
 BUCKET_US = 7 * 86_400_000_000
@@ -57,10 +57,11 @@ def collapse_versions(evidence: DataFrame) -> DataFrame:
         .withColumn("changed", (F.col("prev").isNull() | (F.col("hash") != F.col("prev_hash")) | (F.col("value") != F.col("prev"))).cast("int"))
         .withColumn("island", F.sum("changed").over(inside))
     )
-    starts = (
+    starts = materialize(
         marked.filter("island > 0")
         .groupBy("entity", "bucket", "island")
-        .agg(F.min("t_us").alias("valid_from_us"), F.min_by("value", "t_us").alias("value"))
+        .agg(F.min("t_us").alias("valid_from_us"), F.min_by("value", "t_us").alias("value")),
+        "starts",
     )
     nexts = (
         starts.groupBy("entity", "bucket")
@@ -91,12 +92,13 @@ def fingerprint_history(updates: DataFrame, snapshots: DataFrame) -> DataFrame:
         key("event_id").alias("entity"), F.unix_micros("last_seen").alias("t_us"), F.lit(0).alias("kind"),
         F.col("snapshot_id").cast("long").alias("row"), key("fingerprint").alias("value"), F.lit(None).cast("string").alias("old"),
     )
-    evidence = (
+    evidence = materialize(
         changes.unionByName(seen)
         .dropna(subset=["entity", "t_us", "value"])
         .groupBy("entity", "t_us")
         .agg(F.max(F.struct("kind", "row", "value", "old")).alias("top"))
-        .select("entity", "t_us", "top.value", "top.old")
+        .select("entity", "t_us", "top.value", "top.old"),
+        "evidence",
     )
     earliest = evidence.groupBy("entity").agg(F.min("t_us").alias("first_us"), F.min_by("old", "t_us").alias("old")).filter("old is not null")
     opened = (

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Metric families by preference.
+METRICS = ["cvssmetricv40", "cvssmetricv31", "cvssmetricv30", "cvssmetricv2"]
+
+
 def catalog_index(catalog: DataFrame, cve: str = "cveid", row: str = "row_id") -> DataFrame:
     """One entry per CVE id (upper case, no outer blanks), the last row of each; rows without id are left out."""
     keyed = catalog.withColumn("cve", F.upper(F.trim(cve))).filter("cve <> ''")
@@ -28,10 +32,9 @@ def english(descriptions: Column) -> Column:
 
 
 def best_metric(*families: Column) -> Column:
-    """Base score of the first family with a usable entry; a primary entry goes before others."""
-    usable = [F.filter(f, lambda m: m["base_score"].isNotNull()) for f in families]
-    pick = lambda a: F.try_element_at(a, F.lit(1))["base_score"]
-    return F.coalesce(*[x for u in usable for x in (pick(F.filter(u, lambda m: m["kind"] == "Primary")), pick(u))])
+    """Base score of the first family whose entry has one; a family's entry is its first primary one, else its first."""
+    pick = lambda a: F.try_element_at(a, F.lit(1))
+    return F.coalesce(*[F.coalesce(pick(F.filter(f, lambda m: m["kind"] == "Primary")), pick(f))["base_score"] for f in families])
 
 
 def cpe_product(cpe: Column) -> Column:
@@ -47,8 +50,20 @@ def vulnerability_records(cves: DataFrame) -> DataFrame:
         "row_id",
         F.upper(F.trim("id")).alias("cve"),
         english(F.col("descriptions")).alias("description"),
-        best_metric(F.col("cvssmetricv31"), F.col("cvssmetricv2")).alias("score"),
+        best_metric(*[F.col(c) for c in METRICS if c in cves.columns]).alias("score"),
         F.filter(F.array_distinct("weaknesses"), lambda w: w.rlike(r"^CWE-\d+$")).alias("cwes"),
         F.slice(F.array_distinct(F.filter(F.transform("cpes", cpe_product), lambda x: x.isNotNull())), 1, 5).alias("products"),
         F.coalesce(F.col("vulnstatus") == "Rejected", F.lit(False)).alias("rejected"),
     )
+
+
+def catalog_items(catalog: DataFrame) -> DataFrame:
+    """Catalog entries as items: id, label of vendor and product (the vendor once), title, weaknesses."""
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    repeated = F.startswith(F.lower(F.trim("product")), F.lower(F.trim("vendorproject")))
+    cve = F.upper(F.trim("cveid"))
+    cwes = F.filter(F.transform(F.coalesce("cwes", F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^CWE-\d+$"))
+    return catalog.select(
+        "row_id", cve.alias("cve"), F.when(repeated, F.trim("product")).otherwise(F.concat_ws(" ", filled("vendorproject"), filled("product"))).alias("label"),
+        F.concat_ws(": ", F.when(cve != "", cve), filled("vulnerabilityname")).alias("title"), cwes.alias("cwes"),
+    )

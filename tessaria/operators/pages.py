@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaria.functions.text import plain_text
@@ -161,3 +161,17 @@ def extract_pages(df: DataFrame, row: str, markup: str) -> DataFrame:
 
     kind = dict(df.dtypes)[row]
     return df.select(F.col(row).alias("row"), F.col(markup).alias("markup")).mapInPandas(run, f"{row} {kind}, {PAGE}")
+
+
+#: Growth of a text that counts as a change, in characters and as a share.
+GROWTH_CHARS, GROWTH_SHARE = 300, 0.2
+
+
+def changed_pages(articles: DataFrame) -> DataFrame:
+    """(article_id, before, changed): each page fetched again against the fetch before: another content, and another title or length."""
+    w = Window.partitionBy("canonical_url").orderBy(F.asc_nulls_first("updated_at"), "article_id")
+    n, title = F.length(F.coalesce("article_text", F.lit(""))), F.lower(F.trim(F.coalesce("title", F.lit(""))))
+    p = articles.filter("canonical_url is not null").select("canonical_url", "updated_at", "article_id", F.col("content_hash").alias("h"), title.alias("t"), n.alias("n"))
+    p = p.select("*", *[F.lag(c).over(w).alias(a) for c, a in (("article_id", "before"), ("h", "ph"), ("t", "pt"), ("n", "pn"))]).filter("before is not null")
+    grown = F.abs(F.col("n") - F.col("pn")) > F.greatest(F.lit(float(GROWTH_CHARS)), GROWTH_SHARE * F.col("pn"))
+    return p.select("article_id", "before", (~F.col("h").eqNullSafe(F.col("ph")) & ((F.col("t") != F.col("pt")) | grown)).alias("changed"))

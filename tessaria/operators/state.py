@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessaria.functions.identity import hash_parts
 from tessaria.operators.matching import EXPLOITATION_RANK, rank
+from tessaria.runtime import key as plain_key
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -64,3 +65,20 @@ def search(df: DataFrame, columns: list[str], terms: str, order: list[Column], l
         return df.limit(0)
     text = F.lower(F.concat_ws(" ", *columns))
     return df.filter(reduce(lambda a, b: a & b, [text.contains(w) for w in words])).orderBy(*order).limit(limit)
+
+
+def failures_since_success(checks: DataFrame, source: str, at: str, ok: str) -> DataFrame:
+    """(source, last_ok_us, failures): the failed checks after a source's last success, all of them where there was none."""
+    last = checks.groupBy(source).agg(F.max(F.when(F.col(ok), F.col(at))).alias("_ok"))
+    failed = checks.filter(~F.col(ok)).join(last, source).filter(F.col("_ok").isNull() | (F.col(at) > F.col("_ok"))).groupBy(source).agg(F.count("*").alias("failures"))
+    return last.join(failed, source, "left").select(source, F.unix_micros("_ok").alias("last_ok_us"), F.coalesce("failures", F.lit(0)).alias("failures"))
+
+
+def reconcile(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """Events (event_row, eid, last_seen, fingerprint) against stored state (k, seen, briefed, at, fp): first seen, briefed before, changed since."""
+    e = events.join(stored, events["eid"] == stored["k"], "left")
+    known = F.col("k").isNotNull()
+    return e.select(
+        "event_row", F.unix_micros(F.coalesce("seen", "last_seen")).alias("first_us"), F.coalesce(F.col("briefed") > 0, F.lit(False)).alias("previously_briefed"),
+        F.coalesce(F.unix_micros("at"), F.lit(-1)).alias("briefed_us"), known.alias("known"), (known & ~F.col("fp").eqNullSafe(plain_key("fingerprint"))).alias("changed"),
+    )

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from tessaria.functions.zones import zone_table
 from tessaria.runtime import BLANKS
 
-#: Longer texts, without their outer blanks, are no timestamps.
-MAX_CHARS = 80
+#: Longer texts, without outer blanks and with fractions cut to nine digits, are no timestamps: no form of the grammar is as long.
+MAX_CHARS = 160
+_FINER = re.compile(r"(?<=[.,][0-9]{9})[0-9]+")
 
 #: Plain numbers are read in the unit that puts them between these seconds since the epoch (2001 to 2033).
 EPOCH_FROM, EPOCH_TO = 978_307_200, 2_019_686_400
@@ -271,6 +272,8 @@ def parse_instants(texts: pd.Series, home: pd.Series, month_first: pd.Series) ->
     order = month_first.fillna(False).to_numpy(dtype=bool)
     by_mask: dict[str, list[int]] = {}
     for i, t in enumerate(stripped):
+        if len(t) > MAX_CHARS:
+            t = stripped[i] = _FINER.sub("", t)
         if 0 < len(t) <= MAX_CHARS:
             by_mask.setdefault(_mask(t), []).append(i)
     for mask, rows in by_mask.items():
@@ -307,6 +310,10 @@ def _instants(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield parse_instants(texts, home, month_first)
 
 
+# evaluated where it stands, once a row: else a filter on the result would be pushed below and evaluate it again
+_instants = _instants.asNondeterministic()
+
+
 def utc_micros(text: Column, home_zone: Column, date_order: Column) -> Column:
     """The instant a text denotes, in microseconds since 1970-01-01 UTC; null when it denotes none."""
     return _instants(text, F.coalesce(home_zone, F.lit("UTC")), F.coalesce(F.lower(date_order) == "mdy", F.lit(False)))

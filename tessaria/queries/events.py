@@ -19,11 +19,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict | None = None, sqls: dict | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        (QUERIES if queries is None else queries)[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
+            (SQL if sqls is None else sqls)[f.__name__] = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
         return f
 
     return add
@@ -68,8 +68,7 @@ def catalog_note_links(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT row_id, upper(trim(id)) AS cve,
   coalesce(list_filter(descriptions, x -> x.lang = 'en' AND length(x.value) > 0)[1].value, list_filter(descriptions, x -> length(x.value) > 0)[1].value) AS description,
-  coalesce(list_filter(cvssmetricv31, x -> x.base_score IS NOT NULL AND x.kind = 'Primary')[1].base_score, list_filter(cvssmetricv31, x -> x.base_score IS NOT NULL)[1].base_score,
-           list_filter(cvssmetricv2, x -> x.base_score IS NOT NULL AND x.kind = 'Primary')[1].base_score, list_filter(cvssmetricv2, x -> x.base_score IS NOT NULL)[1].base_score) AS score,
+  coalesce((coalesce(list_filter(cvssmetricv31, x -> x.kind = 'Primary')[1], cvssmetricv31[1])).base_score, (coalesce(list_filter(cvssmetricv2, x -> x.kind = 'Primary')[1], cvssmetricv2[1])).base_score) AS score,
   array_to_string(list_sort(list_distinct(list_filter(weaknesses, x -> regexp_full_match(x, 'CWE-[0-9]+')))), ',') AS cwes,
   coalesce(vulnstatus = 'Rejected', false) AS rejected
 FROM nvd_cves""")
@@ -87,8 +86,7 @@ def vulnerability_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT row_id, upper(trim(id)) AS cve, coalesce(list_filter(cvssmetricv31, x -> x.base_score IS NOT NULL AND x.kind = 'Primary')[1].base_score, list_filter(cvssmetricv31, x -> x.base_score IS NOT NULL)[1].base_score,
-  list_filter(cvssmetricv2, x -> x.base_score IS NOT NULL AND x.kind = 'Primary')[1].base_score, list_filter(cvssmetricv2, x -> x.base_score IS NOT NULL)[1].base_score) AS score, vulnstatus FROM nvd_cves),
+WITH r AS (SELECT row_id, upper(trim(id)) AS cve, coalesce((coalesce(list_filter(cvssmetricv31, x -> x.kind = 'Primary')[1], cvssmetricv31[1])).base_score, (coalesce(list_filter(cvssmetricv2, x -> x.kind = 'Primary')[1], cvssmetricv2[1])).base_score) AS score, vulnstatus FROM nvd_cves),
 k AS (SELECT DISTINCT upper(trim(cveid)) AS cve FROM kev_catalog)
 SELECT row_id, r.cve AS cve, score, k.cve IS NOT NULL AS listed FROM r LEFT JOIN k ON r.cve = k.cve WHERE vulnstatus IS DISTINCT FROM 'Rejected'
 ORDER BY k.cve IS NOT NULL DESC, coalesce(score, -1) DESC, row_id LIMIT 50""")

@@ -27,7 +27,7 @@ _CATALOG_FIELDS = ["cveID", "vendorProject", "product", "vulnerabilityName", "da
 
 
 def read_vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the vulnerability API, in the columns of the table ``nvd_cves``; metric families by preference."""
+    """Pages of the vulnerability API, in the columns of the table ``nvd_cves`` and two more metric families."""
     doc = spark.read.schema(schemas.VULNERABILITY_PAGE).option("multiLine", True).json(path)
     c = doc.select("startIndex", F.posexplode("vulnerabilities").alias("pos", "v")).select((F.col("startIndex") + F.col("pos")).cast("long").alias("row_id"), "v.cve.*")
     metric = lambda *f: F.concat(
@@ -44,7 +44,7 @@ def read_vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
     )
     return c.select(
         "row_id", "id", F.col("sourceIdentifier").alias("sourceidentifier"), "published", F.col("lastModified").alias("lastmodified"), F.col("vulnStatus").alias("vulnstatus"), "descriptions",
-        metric("cvssMetricV40", "cvssMetricV31", "cvssMetricV30").alias("cvssmetricv31"), metric("cvssMetricV2").alias("cvssmetricv2"),
+        *[metric(f).alias(f.lower()) for f in ("cvssMetricV40", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2")],
         F.flatten(F.transform("weaknesses", lambda w: F.transform(w["description"], lambda x: x["value"]))).alias("weaknesses"), cpes.alias("cpes"),
         F.transform("references", lambda r: r["url"]).alias("links"),
     )
