@@ -37,13 +37,11 @@ SUBJECTS = ("software", "law", "health", "finance", "energy", "sport", "science"
 #: Bounds: labelled documents used as seeds, words of the vocabulary, languages with centroids of their own.
 LABELLED, VOCABULARY, LANGUAGES = 50_000, 2048, 8
 #: Dimensions of the embedding and rounds of refinement.
-RANK, ROUNDS = 64, 3
+RANK, ROUNDS = 128, 2
 #: A word is a seed from this lift and this excess in standard deviations.
 LIFT, EXCESS = 2.0, 2.5
 #: A word belongs to the vocabulary from this share and number of sentences in the company of one subject's words; rounds.
 PURE, COMPANY, GROWTH = 0.5, 3, 2
-#: Weight of the labels' word associations beside the latent space.
-LABEL_SHARE = 1.0
 #: Cosine, summed association and distinct vocabulary words from which a sentence is about a subject (one word alone
 #: is no evidence), and sentences that make a subject.
 NEAR, MASS, WORDS, SENTENCES = 0.15, 1.0, 2, 2
@@ -319,8 +317,7 @@ def embed(encoded: DataFrame, vocabulary: Seeds) -> Model:
     values, vectors = np.linalg.eigh(gram * weight[:, None] * weight[None, :])
     top = np.argsort(-values)[:RANK]
     by_subject = vocabulary.weight.reshape(n, len(SUBJECTS), LANGUAGES).sum(axis=2)
-    # a word's place in the latent space, and beside it what the labels say of it
-    vector = np.concatenate([_unit(vectors[:, top] * np.sqrt(np.maximum(values[top], 0))), LABEL_SHARE * _unit(by_subject)], axis=1)
+    vector = _unit(vectors[:, top] * np.sqrt(np.maximum(values[top], 0)))  # a word's place in the latent space
     seeds = vocabulary.weight.T @ vector
     return Model(vector.astype(np.float32), by_subject.max(axis=1), _unit(seeds).astype(np.float32))
 
