@@ -97,14 +97,14 @@ def catalog_items(spark: SparkSession, d: str) -> DataFrame:
 @add("SELECT row_id, dateadded AS day FROM kev_catalog WHERE regexp_full_match(trim(dateadded), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(trim(dateadded) AS DATE) BETWEEN DATE '2024-03-01' AND DATE '2025-06-30'")
 def catalog_window(spark: SparkSession, d: str) -> DataFrame:
     """Entries whose plain date lies between two days."""
-    day = F.when(F.trim("dateadded").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim("dateadded").try_cast("date"))
+    day = F.when(F.trim("dateadded").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.trim("dateadded").try_cast("date"))
     return table(spark, d, "kev_catalog").filter(day.between("2024-03-01", "2025-06-30")).select("row_id", F.col("dateadded").alias("day"))
 
 
 @add("SELECT row_id, CAST(TRY_CAST(trim(dateadded) AS DATE) AS VARCHAR) AS day FROM kev_catalog WHERE regexp_full_match(trim(dateadded), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(trim(dateadded) AS DATE) IS NOT NULL ORDER BY day DESC, row_id LIMIT 25")
 def catalog_newest(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: newest entries first."""
-    day = F.when(F.trim("dateadded").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim("dateadded").try_cast("date"))
+    day = F.when(F.trim("dateadded").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.trim("dateadded").try_cast("date"))
     return table(spark, d, "kev_catalog").select("row_id", day.cast("string").alias("day")).filter("day is not null").orderBy(F.desc("day"), "row_id").limit(25)
 
 
@@ -272,7 +272,7 @@ SELECT event_row, epoch_us(coalesce(s.first_seen, e.last_seen)) AS first_us, coa
 def reconcile_events(spark: SparkSession, d: str) -> DataFrame:
     """The last row of each event against its stored state."""
     s = table(spark, d, "stored_events").withColumn("k", key("event_id")).filter("k is not null and last_seen is not null")
-    stored = s.groupBy("k").agg(F.min("first_seen").alias("seen"), F.max("times_briefed").alias("briefed"), F.max("last_briefed_at").alias("at"), F.max_by(key("fingerprint"), F.struct("last_seen", "snapshot_id")).alias("fp"))
+    stored = s.groupBy("k").agg(F.min("first_seen").alias("seen"), F.max("times_briefed").alias("briefed"), F.max("last_briefed_at").alias("at"), F.max_by(key("fingerprint"), F.when(key("fingerprint").isNotNull(), F.struct("last_seen", "snapshot_id"))).alias("fp"))
     return state.reconcile(_latest(spark, d), stored)
 
 
