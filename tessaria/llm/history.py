@@ -8,8 +8,7 @@ then on. A batch goes through these steps:
 1. Prescreen. The values of the batch travel to their filter's partition, behind the filter itself. Values that the
    filter doesn't know and that only one row of the batch has are done: nothing of the history is read for them.
    The same pass adds the values to the filter.
-2. Lookup. Possible members are looked up in the store, whose rows stay where they are while the batch's values come to them.
-   Shared keys and signatures are repeats at once; shared fingerprints bring up pairs of a new row with an accepted one or
+2. Lookup. Possible members are looked up in the store: a small batch's values go to its rows, else both are hashed. Shared keys and signatures are repeats at once; shared fingerprints bring up pairs of a new row with an accepted one or
    with another new row, which are judged by their sketches where they meet and verified by exact Jaccard over the whole texts.
 3. Decision. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id and
    accepted unless they repeat an accepted one: in one task while they are few, else in rounds over the cluster.
@@ -44,10 +43,11 @@ from tessaria.runtime import Save, checked_broadcast, delete_path, fresh_path, g
 #: Partitions of the Bloom filters (the default of a store), bits of a layer, and the entries that close it (about 1 % false positives).
 FILTER_PARTS, FILTER_BITS, CAPACITY = 8, 1 << 21, 200_000
 FILTER_HASHES = 5
+#: Bytes of a batch's fingerprints up to which they are sent to the store's rows; beyond, both sides are hashed (and hot values split by the
+#: engine's skew handling).
+SENT_BYTES = 2 << 20
 #: Rows and pairs that one task decides; beyond, the cluster decides in rounds.
 RESOLVE_ROWS = 1_000_000
-#: Records of the first batch up to which a shingle of theirs is of the rarest class; above, each doubling is one.
-RARE = 1
 
 #: Kinds of values: exact keys, signatures of whole texts, fingerprints; and of a line that holds a pair.
 KEY, SIGNATURE, SHINGLE, PAIR = 0, 1, 2, 3
@@ -227,7 +227,7 @@ class Store:
         if self._order is None:
             kept = f"{self.path}/{self.commits[0]['folder'] if self.commits else folder}/order"
             if not self.commits:
-                shingle_order(texts, size, RARE).write.parquet(kept)
+                shingle_order(texts, size, 0).write.parquet(kept)
             self._order = broadcast_order(self.spark.read.schema(ORDER).parquet(kept))
         return self._order
 
@@ -351,8 +351,8 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
         asked = checked_broadcast(found.filter(f"known and kind < {SHINGLE}").select("v").distinct(), seen["known_exact"])
         exact = exact.union(_posted(stored, "false").join(asked, "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
     if stored is not None and seen["known_shingles"]:
-        # the batch's values go to the store's rows, which stay where they are; a pair is judged where it meets
-        asked = checked_broadcast(found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more"), seen["known_shingles"])
+        # a pair is judged where it meets
+        asked = checked_broadcast(found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more"), seen["known_shingles"], SENT_BYTES).hint("shuffle_hash")
         posted = stored.selectExpr("explode(vals) v", "id", "n", "sketch", "more")
         met = posted.alias("x").join(asked.alias("y"), F.expr(f"x.v = y.v and {within_reach(threshold, 'x', 'y')}")).selectExpr("x.id a", "y.id b", "true old")
         near = near.union(met)

@@ -90,7 +90,7 @@ def _classes(rare: int):
                 c = np.frombuffer(x, dtype="<i8")
                 held[i] = held[i] + c if i in held else c
         for i, c in held.items():
-            grade = np.maximum(0, np.ceil(np.log2(np.maximum(c, 1) / rare))).astype(np.uint8)
+            grade = np.ceil(np.log2(np.maximum(c / rare, 1) if rare else c + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "classes": pa.array([grade.tobytes()], pa.binary())})
 
     return run
@@ -100,9 +100,12 @@ ORDER = "chunk int, classes binary"
 
 
 def shingle_order(texts: DataFrame, size: int, rare: int | None = None) -> DataFrame:
-    """(chunk, classes): the class of each cell, from the counts over all texts: 0 up to ``rare`` records (RARE), then one per doubling."""
+    """(chunk, classes): the class of each cell, from the counts over all texts: 0 up to ``rare`` records (RARE), then one per doubling.
+
+    With ``rare`` 0, for counts over a part of the texts, what that part doesn't hold is a class of its own before all others.
+    """
     counts = texts.select("text").mapInArrow(_count(size), "chunk int, counts binary")
-    return counts.repartition(16, "chunk").mapInArrow(_classes(rare or RARE), ORDER)
+    return counts.repartition(16, "chunk").mapInArrow(_classes(RARE if rare is None else rare), ORDER)
 
 
 def broadcast_order(order: DataFrame):
