@@ -39,3 +39,60 @@ def indicators(df: DataFrame, row: str, text: str, kinds: list[str] | None = Non
 
     found = F.concat(*[of(k) for k in (kinds or PATTERNS)])
     return df.select(F.col(row), F.explode(found).alias("f")).groupBy(row, "f.kind", "f.value").agg(F.count("*").alias("n"))
+
+
+# Forms of further indicators. Names of malware by their ending or by the word behind them; phrases that speak of exploits
+# and of the catalog; words that introduce a domain; endings of file names.
+NAMED = {
+    "malware": r"\b([A-Z][A-Za-z0-9]{1,30}(?:RAT|Loader|Stealer|Locker|Bot|Miner|Backdoor|Trojan|Worm|Wiper|Dropper|Injector|Crypt(?:er|or)|Ransom))\b",
+    "exploit_reference": r"(?i)\b(proof[- ]of[- ]concept(?:\s+(?:exploit|code))?|PoC(?:\s+(?:exploit|code))?|exploit(?:ation)?\s+(?:code|in\s+the\s+wild|module|kit)|actively\s+exploited|exploited\s+in\s+the\s+wild|"
+    r"under\s+active\s+exploitation|working\s+exploit|weaponi[sz]ed|zero[- ]day|0[- ]day|mass\s+exploitation)\b",
+    "kev_reference": r"(?i)\b(CISA\s+KEV|KEV\s+catalog|Known\s+Exploited\s+Vulnerabilit(?:y|ies)(?:\s+catalog)?)\b",
+    "version": r"(?i)(?:\b(?:version|versions|ver|v|release|build|firmware)\.?\s*|<=\s*|>=\s*|<\s*|>\s*|\bbefore\s+|\bprior to\s+|\bthrough\s+|\bup to\s+)(\d+(?:\.\d+){1,5})\b",
+    "vendor_product": r"\b((?:[A-Z][A-Za-z0-9+#\-]{1,30}\s+){1,4})(?:version|versions|ver\.?|v\.?|release|build)\s+\d+(?:\.\d+){1,5}",
+    "url": r"(?i)\b((?:https?|ftp)://[^\s<>\"'()\[\]{}]+)",
+    "ghsa": r"(?i)\b(GHSA(?:-[A-Za-z0-9]{4}){3})\b",
+}
+DOMAIN_CUES = "domains?|subdomains?|hostnames?|hosts?|fqdn|c2|cnc|callbacks?|beacons?|infrastructure|iocs?|malicious|phishing|payload|staging|dns|registered|delivery"
+FILE_ENDINGS = (
+    "exe dll pdf doc docx xls xlsx ppt pptx js json xml html htm php asp aspx txt zip rar gz tar py sh bat ps1 dat bin log csv png jpg jpeg gif svg css md yml yaml ini cfg conf sys tmp iso img apk jar msi lnk "
+    "vbs wsf hta scr cab dmg pkg deb rpm ts tsx jsx sql db bak old new min map lock toml rst"
+)
+_DOMAIN = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}"
+#: A domain counts if a cue stands within 48 characters before it, or if it is written so that it can't be followed.
+#: The cheap tests stand first, so that the cue is looked for only where a domain may begin.
+_INTRODUCED = rf"(?i)(?<![\w@/.-])(?=[a-z0-9][a-z0-9-]*\.[a-z0-9])(?<=\b(?:{DOMAIN_CUES})\b[^\n]{{1,48}})({_DOMAIN})(?![\w-]|\.[a-z])"
+_DEFANGED = r"(?i)(?<![\w@/.-])((?:[a-z0-9-]+(?:\.|\[\.\]|\(\.\)|\[dot\]))*[a-z0-9-]+(?:\[\.\]|\(\.\)|\[dot\])[a-z]{2,24})(?![\w-])"
+
+
+def _tidy(kind: str, value: Column) -> Column:
+    plain = F.btrim(F.regexp_replace(value, r"\s+", " "))
+    return {"url": F.regexp_replace(plain, r"[.,;:!?'\"]+$", ""), "ghsa": F.upper(plain), "domain": F.lower(plain)}.get(kind, plain)
+
+
+def ranked_indicators(df: DataFrame, row: str, text: str, kinds: list[str] | None = None, most: int = 500) -> DataFrame:
+    """(row, kind, value, start, place): the distinct indicators of each row, case-insensitively, in order of their first place in the
+    refanged text, then kind and value; the first ``most`` of a row (a feature of the extraction).
+
+    Each row is worked off by itself, so no group is collected; nulls give no row.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    t = refang(raw)
+    wanted = kinds or [*NAMED, "domain"]
+    patterns = PATTERNS | NAMED
+
+    def found(kind: str) -> Column:
+        if kind == "domain":
+            inert = F.transform(F.regexp_extract_all(raw, F.lit(_DEFANGED), F.lit(1)), refang)
+            named = F.concat(F.regexp_extract_all(t, F.lit(_INTRODUCED), F.lit(1)), inert)
+            each = F.filter(named, lambda x: ~F.lower(F.substring_index(x, ".", -1)).isin(FILE_ENDINGS.split()))
+        else:
+            each = F.regexp_extract_all(t, F.lit(patterns[kind]), F.lit(1))
+        return F.transform(each, lambda x: F.struct(F.instr(t, x).alias("start"), F.lit(kind).alias("kind"), _tidy(kind, x).alias("value")))
+
+    every = F.filter(F.array_sort(F.concat(*[found(k) for k in wanted])), lambda x: F.length(x["value"]) > 0)
+    first = F.filter(every, lambda x: x["start"] > 0)
+    keyed = df.select(F.col(row), F.posexplode(first).alias("at", "f"))
+    one = keyed.groupBy(row, "f.kind", F.lower("f.value").alias("folded")).agg(F.min(F.struct("at", "f")).alias("m"))
+    listed = one.groupBy(row).agg(F.slice(F.array_sort(F.collect_list("m")), 1, most).alias("l"))  # the distinct indicators of one text
+    return listed.select(row, F.posexplode("l").alias("place", "m")).select(row, "m.f.kind", "m.f.value", "m.f.start", (F.col("place") + 1).alias("place"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.functions import advisories, text, urls
-from tessaria.operators import lookup, matching, merging, normalise, state
+from tessaria.operators import indicators as ind
+from tessaria.operators import lookup, merging, normalise, state
 from tessaria.operators import pages as page_ops
-from tessaria.queries.events import _CANON, _LATEST, _RANKS, _TOKENS, _latest, query
+from tessaria.queries.events import _CANON, _LATEST, _RANKS, _TOKENS, _latest, _refanged, query
 from tessaria.queries.general import _key
 from tessaria.runtime import key, table
 
@@ -338,3 +339,19 @@ def neutral_texts(spark: SparkSession, d: str) -> DataFrame:
     # a text without such content comes out as it is, any other no longer than it was
     kept = F.when(F.size(text.injection_names(F.col("safe"))) >= 0, F.when(F.length("safe") <= F.length("text"), F.size(F.split("text", "\n"))))
     return t.select("doc_id", kept.cast("long").alias("lines"))
+
+
+@add(f"""
+WITH d AS (SELECT doc_id, {_refanged("text")} AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '\\b([A-Z][A-Za-z0-9]{{1,30}}(?:RAT|Loader|Stealer|Locker|Bot|Miner|Backdoor|Trojan|Worm|Wiper|Dropper|Injector|Crypt(?:er|or)|Ransom))\\b', 1)) AS value FROM d)
+SELECT doc_id, 'malware' AS kind, lower(value) AS value, min(strpos(t, value)) AS start FROM m GROUP BY doc_id, lower(value)""")
+def indicator_malware(spark: SparkSession, d: str) -> DataFrame:
+    """Names of malware with their first place in the refanged text."""
+    r = ind.ranked_indicators(table(spark, d, "documents"), "doc_id", "text", ["malware"])
+    return r.select("doc_id", "kind", F.lower("value").alias("value"), "start")
+
+
+@add()
+def indicator_names(spark: SparkSession, d: str) -> DataFrame:
+    """Domains, addresses, versions, products and phrases in order of their places; the domain pattern looks around, which the SQL engine cannot."""
+    return ind.ranked_indicators(table(spark, d, "documents"), "doc_id", "text")

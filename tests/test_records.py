@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessaria.functions import advisories, text, urls
 from tessaria.functions.zones import zone_table
 from tessaria.operators import lookup, merging, normalise, pages, state
+from tessaria.operators.indicators import ranked_indicators
 from tessaria.operators.timestamps import normalise_timestamps
 
 rng = random.Random(7)
@@ -169,3 +170,13 @@ def test_state_and_pages(spark):
 def test_token_estimate(spark):
     assert values(spark, ["", "abcd" * 3 + "x", None], text.token_estimate) == [0, 3, None]
     assert urls.MAX_LENGTH == 2048
+
+
+def test_ranked_indicators(spark):
+    said = "AcmeRAT and acmeRAT 1.2; the domain evil.example and setup.exe; bad[.]test. See https://x.example/a, version 2.3 (KEV catalog). PoC code. Acme Gate version 1.0.4"
+    df = spark.createDataFrame([(1, said), (2, None), (3, "")], "id int, t string")
+    got = [(r.kind, r.value) for r in ranked_indicators(df, "id", "t").orderBy("place").collect()]
+    assert got == [
+        ("malware", "AcmeRAT"), ("domain", "evil.example"), ("domain", "bad.test"), ("url", "https://x.example/a"), ("version", "2.3"), ("kev_reference", "KEV catalog"), ("exploit_reference", "PoC code"), ("vendor_product", "Acme Gate"), ("version", "1.0.4"),
+    ]
+    assert [r.place for r in ranked_indicators(df, "id", "t", most=2).collect()] == [1, 2]
