@@ -71,6 +71,18 @@ def in_window(at, start, end):
     return F.coalesce(at.between(start, end + F.expr("interval 1 hour")), F.lit(False))
 
 
+class TooLarge(Exception):
+    """A body beyond the size that a fetch accepts."""
+
+
+def failure_status(e: Exception) -> str:
+    """Status of a failed fetch: by the answer's code, else by what went wrong."""
+    if code := getattr(e, "code", None):
+        return f"HTTP {code}"
+    kinds = [(TooLarge, "TOO LARGE"), (TimeoutError, "TIMEOUT"), (OSError, "NETWORK ERROR"), (ValueError, "PARSE ERROR")]
+    return next((status for kind, status in kinds if isinstance(e, kind)), "ADAPTER ERROR")
+
+
 class PagedSource(DataSource):
     """A paged source behind a fetch function: one partition per host, so that a host's pages are fetched in turn.
 
@@ -104,13 +116,11 @@ class _PagedReader(DataSourceReader):
         for page in range(self.max_pages):
             try:
                 rows = self.fetch(host, page) if self.fetch else []
-            except TimeoutError:
-                yield host, page, "TIMEOUT", None, None
-                return
-            except Exception:  # one source's failure is a status, not the job's
-                yield host, page, "ADAPTER ERROR", None, None
+            except Exception as e:  # one source's failure is a status, not the job's
+                yield host, page, failure_status(e), None, None
                 return
             if not rows:
                 return
             for external_id, body in rows:
                 yield host, page, "OK", external_id, body
+        yield host, self.max_pages, "MORE PAGES", None, None  # the bound of a fetch is said, never passed over

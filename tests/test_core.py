@@ -16,6 +16,7 @@ from tessaria.operators import lookup, matching, state
 from tessaria.operators.components import components
 from tessaria.operators.indicators import indicators
 from tessaria.operators.pages import extract_pages
+from tessaria.plans import pipeline
 from tessaria.sources import readers
 from tessaria.streaming import pipelines
 
@@ -165,6 +166,21 @@ def test_paged_source(spark):
     spark.dataSource.register(Fake)
     got = sorted((r.host, r.status, r.external_id) for r in spark.read.format("fake_paged").option("hosts", "a,bad").load().collect())
     assert got == [("a", "OK", "a-0"), ("a", "OK", "a-1"), ("bad", "TIMEOUT", None)]
+    endless = readers._PagedReader("a", lambda host, page: [(str(page), "x")], 2)
+    assert [r[2] for r in endless.read(endless.partitions()[0])] == ["OK", "OK", "MORE PAGES"]
+    answer = ValueError()
+    answer.code = 503
+    assert [readers.failure_status(e) for e in (answer, ValueError(), ConnectionError(), TimeoutError(), readers.TooLarge(), KeyError())] == ["HTTP 503", "PARSE ERROR", "NETWORK ERROR", "TIMEOUT", "TOO LARGE", "ADAPTER ERROR"]
+
+
+def test_pipeline(spark):
+    t = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+    items, events = t("raw_items"), t("cyber_events").withColumn("id", F.lower(F.trim("id")))
+    stored = t("stored_events").groupBy("event_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("times_briefed").alias("times_briefed"))
+    out = pipeline.run(items.filter("batch_no > 12"), items.filter("batch_no <= 12"), events, t("kev_catalog"), stored)
+    assert 0 < out.new_items.count() < items.filter("batch_no > 12").count()
+    assert out.reports.agg(F.sum("members")).first()[0] == events.count()
+    assert out.snapshot.count() == out.snapshot.select("event_id").distinct().count() > 0
 
 
 def stream(spark, tmp_path, schema, batches):
