@@ -11,6 +11,7 @@ from tessaria.functions import identity, text, urls
 from tessaria.operators import indicators as ind
 from tessaria.operators import evidence, lookup, matching, pages, state
 from tessaria.operators.components import components
+from tessaria.operators.sessions import sessions
 from tessaria.operators.timestamps import normalise_timestamps
 from tessaria.queries.general import _key
 from tessaria.runtime import key, table
@@ -461,11 +462,7 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS began, count(*) AS events FROM s GROUP BY user_id, n""")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts")
-    e = table(spark, d, "events").select("user_id", "ts")
-    fresh = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 30 minutes"), 0).otherwise(1)
-    s = e.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "n").agg(F.min("ts").alias("began"), F.count("*").alias("events")).drop("n")
+    return sessions(table(spark, d, "events"), "user_id", "ts")
 
 
 # ---- pages and evidence
