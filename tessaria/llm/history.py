@@ -352,7 +352,8 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
         exact = exact.union(_posted(stored, "false").join(asked, "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
     if stored is not None and seen["known_shingles"]:
         # a pair is judged where it meets
-        asked = checked_broadcast(found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more"), seen["known_shingles"], SENT_BYTES).hint("shuffle_hash")
+        asked = found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more")
+        asked = asked.hint("broadcast" if 36 * seen["known_shingles"] <= SENT_BYTES else "shuffle_hash")
         posted = stored.selectExpr("explode(vals) v", "id", "n", "sketch", "more")
         met = posted.alias("x").join(asked.alias("y"), F.expr(f"x.v = y.v and {within_reach(threshold, 'x', 'y')}")).selectExpr("x.id a", "y.id b", "true old")
         near = near.union(met)
