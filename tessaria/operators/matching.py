@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.functions.text import title_tokens
+from tessaria.operators.alike import alike, ordered_sets
 from tessaria.operators.components import components
 from tessaria.runtime import materialize
 
@@ -16,10 +17,6 @@ KEV_RANK = ["not_listed", "listed", "newly_added"]
 CONFIDENCE_RANK = ["UNVERIFIED", "LOW", "MODERATE", "HIGH", "CONFIRMED"]
 
 
-#: Sets that keep one token in common up to which they meet in one task.
-PART = 2000
-
-
 def rank(order: list[str], c: Column) -> Column:
     """Zero-based place of a value in an ordered domain; null for others."""
     at = F.array_position(F.array(*[F.lit(x) for x in order]), c)
@@ -39,31 +36,12 @@ def star_edges(df: DataFrame, row: str, keys: Column) -> DataFrame:
 def similar_titles(df: DataFrame, row: str, title: str, threshold: float = 0.9, scored: bool = False) -> DataFrame:
     """(a, b) with a < b: rows of different token sets of a similarity of at least ``threshold``.
 
-    Rows are reduced to distinct token sets first (their smallest row stands for them). Prefix filtering: tokens are
-    ordered by frequency, the rarest first, and two sets can only be similar if they share one of their first
-    ``n - ceil(threshold * n) + 1``; the exact similarity decides. Pairs meet by token and length: sets of n tokens meet those of n to n / threshold
-    tokens only. A token that many sets keep is split by a hash of the row, and every two of its parts meet apart.
+    Rows are reduced to distinct token sets first (their smallest row stands for them); :func:`tessaria.operators.alike.alike` pairs them.
     """
     sets = df.select(F.col(row).alias("row"), F.array_sort(title_tokens(F.col(title))).alias("tokens")).filter(F.size("tokens") > 0)
-    sets = sets.groupBy("tokens").agg(F.min("row").alias("row"))
-    tokens = sets.select("row", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ordered = tokens.join(often, "token").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("by_rarity"))
-    keep = (F.size("by_rarity") - F.ceil(F.size("by_rarity") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = ordered.select("row", F.explode(F.slice("by_rarity", F.lit(1), keep)).alias("token"), F.size("by_rarity").alias("n"))
-    prefix = materialize(prefix, "prefixes")
-    parts = prefix.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    prefix = prefix.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
-    longer = F.sequence("n", F.floor(F.col("n") / threshold + 1e-9).cast("int"))
-    left = prefix.select(F.col("row").alias("a"), "token", F.col("n").alias("na"), "part", F.explode(longer).alias("nb"), "parts")
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = prefix.select(F.col("row").alias("b"), "token", F.col("n").alias("nb"), F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = left.join(right, ["token", "nb", "part", "other"]).filter((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    by_row = sets.select("row", "tokens")
-    pairs = near.join(by_row.toDF("a", "ta"), "a").join(by_row.toDF("b", "tb"), "b")
-    jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return pairs.select("a", "b", jaccard.alias("score")).filter(F.col("score") >= threshold).select("a", "b", *(["score"] if scored else []))
+    sets = materialize(sets.groupBy("tokens").agg(F.min("row").alias("row")), "titles")
+    found = alike(ordered_sets(sets).selectExpr("*", "0L grp", "0L bucket", "0L first", "0L last", "false again"), threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(["score"] if scored else []))
 
 
 def merge_groups(events: DataFrame, row: str, groups: DataFrame) -> DataFrame:

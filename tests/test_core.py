@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 from datetime import UTC, datetime
+from itertools import combinations
 
 import duckdb
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tessaria import catalog
 from tessaria.functions import text, urls
 from tessaria.functions.identity import CVE, found_ids, hash_parts, unique_text
-from tessaria.operators import lookup, matching, state
+from tessaria.operators import alike, lookup, matching, state
 from tessaria.operators.components import components
 from tessaria.operators.indicators import indicators
 from tessaria.operators.pages import extract_pages
@@ -227,3 +229,18 @@ def test_extract_pages(spark):
     assert got[1].title == "Main title" and got[1].canonical_url == "https://e.example/a" and got[1].article_container and got[1].paragraph_count == 3
     assert got[1].article_text == "Main title\n\nFirst paragraph of the text.\n\n- An item of the list\n\nSecond paragraph & end."
     assert got[2].article_text == got[3].article_text == "" and got[4].article_text == "unclosed text here"
+
+
+def test_titles_of_common_words_meet_without_moving_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.sample(["common", "words", "shared"], 2) + draw.sample([f"name{k}" for k in range(12)], draw.randrange(1, 12)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "r long, t string")
+    monkeypatch.setattr(alike, "PART", 40)  # most tokens are split
+    found = matching.similar_titles(df, "r", "t", 0.65)
+    after = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in after and "Exchange" not in after
+    first = {}
+    for r, t in rows:
+        first.setdefault(frozenset(t.split()), r)
+    expected = sorted((min(a, b), max(a, b)) for (x, a), (y, b) in combinations(first.items(), 2) if len(x & y) >= 0.65 * len(x | y) - 1e-9)
+    assert len(expected) > 500 and sorted((r.a, r.b) for r in found.collect()) == expected
