@@ -1,8 +1,8 @@
 """Clusters of reports that tell of one event, and their merging.
 
 Reports are linked by a shared CVE id, a shared address, or titles that are alike within three days: nearly equal ones, or similar
-ones with a shared product, organisation or malware family. Only the links that the clusters need are made: rows of one key or of
-one pair of title sets are chained in order of time, so their number stays linear in the rows, however many share a title.
+ones with a shared product, organisation or malware family. Only the links that the clusters need are made: rows of one key or title set
+are chained in order of time, and of those of one set, name and stretch of time one stands for all.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from tessaria.functions.identity import fold, hash_parts
 from tessaria.functions.text import title_tokens
 from tessaria.functions.urls import canonical_url
+from tessaria.operators.alike import alike, kept, ordered_sets
 from tessaria.operators.components import components
-from tessaria.operators.matching import CONFIDENCE_RANK, EXPLOITATION_RANK, KEV_RANK, TYPE_ORDER, rank, similar_titles, star_edges
+from tessaria.operators.matching import CONFIDENCE_RANK, EXPLOITATION_RANK, KEV_RANK, TYPE_ORDER, rank, star_edges
 from tessaria.runtime import materialize
 
 #: Microseconds within which reports are near in time, and similarities of titles without and with a shared name.
 NEAR_US, ALIKE, RELATED = 3 * 86_400_000_000, 0.9, 0.65
+#: Stretches of NEAR_US that meet in one task.
+ERA = 10
 
 
 def chain(rows: DataFrame, by: list[str], row: str, at: str, near_us: int) -> DataFrame:
@@ -40,19 +43,35 @@ def chain(rows: DataFrame, by: list[str], row: str, at: str, near_us: int) -> Da
     return links.union(rows.join(undated, by).filter(F.col(row) != F.col("_first")).select("_first", F.col(row)))
 
 
+def near_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links of rows (set, name, row, at) of different sets that are alike, have one name and are near in time.
+
+    Rows of one set and name stand together for each stretch of NEAR_US, inside of which they are all near: of two such stretches next to
+    each other, rows are near if the last of the one and the first of the other are. What has no instant is near to all of its name.
+    """
+    stretch = F.floor(F.col("at") / NEAR_US)
+    units = rows.groupBy("set", "name", stretch.alias("bucket")).agg(F.min("row").alias("row"), F.min("at").alias("first"), F.max("at").alias("last"))
+    units = units.join(sets.select(F.col("row").alias("set"), "ids").filter(kept(F.size("ids"), threshold) > 0), "set")
+    era = F.floor(F.col("bucket") / ERA)
+    dated, undated = units.filter("bucket is not null"), units.filter("bucket is null")
+    rest = ["row", "ids", "bucket", "first", "last"]
+    # the last stretch of an era meets the first one of the next there
+    eras = F.when(F.pmod("bucket", F.lit(ERA)) == ERA - 1, F.array(era, era + 1)).otherwise(F.array(era))
+    posted = dated.select("name", F.posexplode(eras).alias("again", "era"), *rest).select(F.xxhash64("name", "era").alias("grp"), *rest, (F.col("again") > 0).alias("again"))
+    always = dated.join(undated.select("name").distinct(), "name", "left_semi").withColumn("again", F.lit(True)).unionByName(undated.withColumn("again", F.lit(False)))
+    always = always.select(F.xxhash64("name").alias("grp"), "row", "ids", *[F.lit(0).cast("long").alias(c) for c in rest[2:]], "again")
+    return alike(posted.unionByName(always), threshold, NEAR_US).select("a", "b")
+
+
 def title_links(df: DataFrame, row: str, title: str, at: str, entities: Column) -> DataFrame:
     """(a, b) links over titles and time; ``at`` in microseconds, null where unknown, which is near to everything."""
-    sets = df.select(F.col(row).alias("row"), F.col(at).alias("at"), F.array_sort(title_tokens(F.col(title))).alias("tokens"), F.array_distinct(F.transform(entities, fold)).alias("names")).filter(F.size("tokens") > 0)
-    sets = materialize(sets.withColumn("set", F.xxhash64("tokens")), "titles")
-    same = chain(sets, ["set"], "row", "at", NEAR_US)
-    distinct = sets.groupBy("set").agg(F.first("tokens").alias("tokens"), F.array_join(F.first("tokens"), " ").alias("title"))
-    alike = materialize(similar_titles(distinct, "set", "title", RELATED, scored=True), "alike")
-    both = alike.select("a", "b", "score", F.explode(F.array("a", "b")).alias("set"))
-    near = both.filter(F.col("score") >= ALIKE - 1e-9).join(sets, "set").select("a", "b", "row", "at")
-    near = chain(near, ["a", "b"], "row", "at", NEAR_US)
-    named = both.filter(F.col("score") < ALIKE - 1e-9).join(sets, "set").select("a", "b", "row", "at", F.explode("names").alias("name"))
-    named = chain(named.filter("name is not null and name <> ''"), ["a", "b", "name"], "row", "at", NEAR_US)
-    return same.union(near).union(named)
+    rows = df.select(F.col(row).alias("row"), F.col(at).alias("at"), F.array_sort(title_tokens(F.col(title))).alias("tokens"), F.array_distinct(F.transform(entities, fold)).alias("names")).filter(F.size("tokens") > 0)
+    rows = rows.withColumn("set", F.xxhash64("tokens"))
+    sets = ordered_sets(materialize(rows.groupBy("set").agg(F.first("tokens").alias("tokens")), "titles"), "set")
+    rows = materialize(rows.select("set", "row", "at", "names", F.size("tokens").alias("n")), "rows")
+    near = near_links(rows.filter(kept(F.col("n"), ALIKE) > 0).select("set", F.lit("").alias("name"), "row", "at"), sets, ALIKE)
+    named = rows.filter(kept(F.col("n"), RELATED) > 0).select("set", F.explode("names").alias("name"), "row", "at").filter("name is not null and name <> ''")
+    return chain(rows.select("set", "row", "at"), ["set"], "row", "at", NEAR_US).union(near).union(near_links(named, sets, RELATED))
 
 
 def cluster_reports(df: DataFrame, row: str, title: str, at: str, cves: Column, urls: Column, entities: Column) -> DataFrame:

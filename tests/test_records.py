@@ -1,16 +1,19 @@
 """Feed fields, normalisation, clusters and merging against small cases and brute force."""
 
+import os
 import random
 from itertools import combinations
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessaria.functions import advisories, text, urls
 from tessaria.functions.zones import zone_table
-from tessaria.operators import lookup, merging, normalise, pages, state
+from tessaria.operators import components, lookup, merging, normalise, pages, state
 from tessaria.operators.indicators import ranked_indicators
 from tessaria.operators.timestamps import normalise_timestamps
+from tessaria.runtime import shared_dir
 
 rng = random.Random(7)
 
@@ -102,6 +105,32 @@ def test_enrich(spark):
     assert (got[2].content, got[2].applied) == ("x", False) and got[3].hint == "active"
 
 
+def test_clusters_write_no_pairs_of_titles(spark):
+    """400 titles, every two of them alike and of one product, but none near in time to another: what is written follows the rows."""
+    base = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    rows = [(i, f"one two three four five six word{i}", i * 5 * 86_400_000_000, ["p"], [], None) for i in range(400)] + [(900, "one two three four five six word900", 0, ["p"], [], None)]
+    df = spark.createDataFrame(rows, "row long, title string, at long, names array<string>, cves array<string>, url string")
+    got = sorted(tuple(r) for r in merging.cluster_reports(df, "row", "title", "at", F.col("cves"), F.array("url"), F.col("names")).collect())
+    assert got == [(0, 0), (900, 0)]
+    assert sum(spark.read.parquet(f"file://{base}/{x}").count() for x in set(os.listdir(base)) - before) < 10 * len(rows)
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    whole = sorted(map(tuple, components.components(df).collect()))
+    monkeypatch.setattr(components, "LAST", 0)
+    monkeypatch.setattr(components, "BLOCK", 7)
+    assert sorted(map(tuple, components.components(df).collect())) == whole
+    label = {x: x for p in pairs for x in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert whole == sorted(label.items())
+
+
 def test_clusters_equal_brute_force(spark):
     words, names = [f"word{i}" for i in range(40)], ["p", "q", "r"]
     day = 86_400_000_000
