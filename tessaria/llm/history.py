@@ -1,15 +1,16 @@
 """Deduplicating new batches against all history.
 
-A store in the shared folder holds what was accepted so far: per row its exact key, the signature of its content, its
-fingerprints (the prefix of the text's shingles, see :mod:`tessaria.llm.neardup`) and the text for verification; beside them,
-partitioned Bloom filters over all these values, and the order of shingles, counted over the first batch and kept from
+A store in the shared folder holds what was accepted so far: the values posted of each row (its exact key, the signature of its
+content, its fingerprints: the prefix of the text's shingles, see :mod:`tessaria.llm.neardup`), dealt into buckets by value; the texts for
+verification, in buckets by id; beside them, partitioned Bloom filters over all these values, and the order of shingles, counted over the first batch and kept from
 then on. A batch goes through these steps:
 
 1. Prescreen. The values of the batch travel to their filter's partition, behind the filter itself. Values that the
    filter doesn't know and that only one row of the batch has are done: nothing of the history is read for them.
    The same pass adds the values to the filter.
-2. Lookup. Possible members are looked up in the store: a small batch's values go to its rows, else both are hashed. Shared keys and signatures are repeats at once; shared fingerprints bring up pairs of a new row with an accepted one or
-   with another new row, which are judged by their sketches where they meet and verified by exact Jaccard over the whole texts.
+2. Lookup. Possible members go to the bucket of their value, where the store's postings lie; those never move, but for the postings of
+   values that very many rows of the batch have. Shared keys and signatures are repeats at once; shared fingerprints bring up pairs of a new
+   row with an accepted one or with another new row, which are judged by their sketches where they meet and verified by exact Jaccard over the whole texts.
 3. Decision. Rows that repeat an accepted row of the history are decided. Among the others, rows are taken in order of id and
    accepted unless they repeat an accepted one: in one task while they are few, else in rounds over the cluster.
 4. Update. The accepted rows and the filters become part of the store by one small file, which
@@ -36,16 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.llm.neardup import ORDER, broadcast_order, candidate_pairs, shingle_order, sketches, verified_pairs, within_reach
+from tessaria.llm.neardup import ORDER, broadcast_order, candidate_pairs, hot_lists, shingle_order, sketches, verified_pairs, within_reach
 from tessaria.llm.words import mix
-from tessaria.runtime import Save, checked_broadcast, delete_path, fresh_path, get_files, put_file, save
+from tessaria.runtime import Save, checked_broadcast, delete_path, fresh_path, get_files, put_file, read_buckets, save, write_buckets
 
 #: Partitions of the Bloom filters (the default of a store), bits of a layer, and the entries that close it (about 1 % false positives).
 FILTER_PARTS, FILTER_BITS, CAPACITY = 8, 1 << 21, 200_000
 FILTER_HASHES = 5
-#: Bytes of a batch's fingerprints up to which they are sent to the store's rows; beyond, both sides are hashed (and hot values split by the
-#: engine's skew handling).
-SENT_BYTES = 2 << 20
+#: Buckets of the postings and of the texts (the default of a store).
+BUCKETS = 12
 #: Rows and pairs that one task decides; beyond, the cluster decides in rounds.
 RESOLVE_ROWS = 1_000_000
 
@@ -188,24 +188,34 @@ class Store:
     """Accepted rows in a folder that all executors share; each batch adds one generation.
 
     A folder that holds a store already is opened as it is: what was admitted in other sessions stays in force, with the order of
-    shingles, their size, the threshold and the number of filter partitions it was begun with.
+    shingles, their size, the threshold and the numbers of filter partitions and buckets it was begun with.
     """
 
-    ACCEPTED = "id long, n int, sig1 long, sig2 long, sketch long, more long, vals array<long>, text string, key string"
+    POSTED = "v long, kind int, id long, n int, a long, b long"
+    TEXTS = "id long, text string"
     DECIDED = "id long, kept long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, filter_parts: int = FILTER_PARTS) -> None:
-        """``filter_parts``: about one for every ten million values that the store shall hold."""
-        self.spark, self.path, self.filter_parts = spark, path or fresh_path(spark, "store"), filter_parts
+    def __init__(self, spark: SparkSession, path: str | None = None, filter_parts: int = FILTER_PARTS, buckets: int = BUCKETS) -> None:
+        """``filter_parts``: about one for every ten million values that the store shall hold; ``buckets``: as many tasks read it."""
+        self.spark, self.path, self.filter_parts, self.buckets = spark, path or fresh_path(spark, "store"), filter_parts, buckets
         self.commits = [json.loads(x) for x in get_files(spark, f"{self.path}/commits", ".json")]
         if self.commits:
-            self.filter_parts = self.commits[0]["filter_parts"]
+            if "buckets" not in self.commits[0]:
+                raise ValueError("the store was begun by a release that kept no buckets")
+            self.filter_parts, self.buckets = self.commits[0]["filter_parts"], self.commits[0]["buckets"]
         self._order = None
 
-    def accepted(self) -> DataFrame | None:
-        """All accepted rows: what is posted of them, and their texts; None while there are none."""
-        paths = [f"{self.path}/{c['folder']}/accepted" for c in self.commits if c["accepted"]]
-        return self.spark.read.schema(self.ACCEPTED).parquet(*paths) if paths else None
+    def _all(self, what: str, schema: str, by: str) -> DataFrame | None:
+        paths = [f"{self.path}/{c['folder']}/{what}" for c in self.commits if c["accepted"]]
+        return read_buckets(self.spark, paths, schema, self.buckets, by) if paths else None
+
+    def posted(self) -> DataFrame | None:
+        """What is posted of all accepted rows, in buckets by value; None while there are none."""
+        return self._all("posted", self.POSTED, "v")
+
+    def texts(self) -> DataFrame | None:
+        """(id, text) of all accepted rows, in buckets by id; None while there are none."""
+        return self._all("texts", self.TEXTS, "id")
 
     def filters(self) -> DataFrame | None:
         """The closed layers of all generations and the open ones of the last."""
@@ -314,6 +324,18 @@ def _in_rounds(exact: DataFrame, pairs: DataFrame, keep: Save) -> DataFrame:
     return met.filter("kept is not null").select("id", "kept").unionByName(around(state.filter("state = 2")).selectExpr("id", "done kept"))
 
 
+def _meeting(posted: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """Lines of the store's postings that have the key or signature of an asked value, and of the pairs that share a fingerprint, judged
+    where they meet. Joined by the value alone, by which the store lies in buckets."""
+    same = "y.kind = x.kind and y.n = x.n and y.sketch = x.sketch and y.more = x.more"
+    on = f"x.v = y.v and if(x.kind = {SHINGLE}, y.kind = {SHINGLE} and {within_reach(threshold, 'x', 'y')}, {same})"
+    of_pair = lambda y, x: f"if(x.kind = {SHINGLE}, {y}, {x})"
+    x = posted.selectExpr("v", "kind", "id", "n", "a sketch", "b more").alias("x")
+    return x.join(asked.alias("y"), F.expr(on)).selectExpr(
+        of_pair("y.id", "x.v") + " v", "x.kind kind", "x.id id", of_pair("0", "x.n") + " n", of_pair("0L", "x.sketch") + " a", of_pair("0L", "x.more") + " b", "true old"
+    )
+
+
 def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Check a batch (id, key[, text]) against the store and itself; what is accepted becomes part of the store.
 
@@ -335,33 +357,34 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
         asked = layers.selectExpr(*[f"cast(null as {t}) {c}" for c, t in (x.split() for x in POSTING.split(", "))], "part", "layer", "entries", "bits").unionByName(asked)
     screened = asked.repartition(store.filter_parts, "part").sortWithinPartitions("part", F.col("layer").isNull(), "v", "s", "id").mapInArrow(_screen, SCREENED)
     seen = Observation()
-    count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}", "known_exact": f"known and kind < {SHINGLE}", "known_shingles": f"known and kind = {SHINGLE}"}
+    count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}"}
     screened.observe(seen, *[F.expr(f"count_if({x}) {c}") for c, x in count.items()]).write.partitionBy("what").parquet(f"{home}/screened")
     seen = seen.get
     shown = f"{POSTING}, dup boolean, known boolean"
     found = spark.read.schema(shown).parquet(f"{home}/screened/what={VALUE}") if seen["exact"] + seen["shingles"] else spark.createDataFrame([], shown)
 
-    stored = store.accepted() if seen["known"] else None
+    stored = store.posted() if seen["known"] else None
     exact = found.filter(F.col("kind") < SHINGLE).selectExpr(*POSTING_COLUMNS, "false old")
-    near = None
+    line = "v long, kind int, id long, n int, a long, b long, old boolean"  # of a pair: b as v, kind SHINGLE, a as id
+    met, hot, many_hot = spark.createDataFrame([], line), None, 0
     if seen["shingles"]:
         dup = found.filter(f"dup and kind = {SHINGLE}").selectExpr("v key", "id", "n", "a sketch", "b more", "false old")
-        near = candidate_pairs(dup, dup.select("key"), threshold, keep)
+        hot, many_hot = hot_lists(dup.select("key"), keep)
+        met = candidate_pairs(dup, hot, many_hot, threshold).selectExpr("b v", f"{SHINGLE} kind", "a id", "0 n", "0L a", "0L b", "old")
     if stored is not None:
-        asked = checked_broadcast(found.filter(f"known and kind < {SHINGLE}").select("v").distinct(), seen["known_exact"])
-        exact = exact.union(_posted(stored, "false").join(asked, "v", "left_semi").selectExpr(*POSTING_COLUMNS, "true old"))
-    if stored is not None and seen["known_shingles"]:
-        # a pair is judged where it meets
-        asked = found.filter(f"known and kind = {SHINGLE}").selectExpr("v", "id", "n", "a sketch", "b more")
-        asked = asked.hint("broadcast" if 36 * seen["known_shingles"] <= SENT_BYTES else "shuffle_hash")
-        posted = stored.selectExpr("explode(vals) v", "id", "n", "sketch", "more")
-        met = posted.alias("x").join(asked.alias("y"), F.expr(f"x.v = y.v and {within_reach(threshold, 'x', 'y')}")).selectExpr("x.id a", "y.id b", "true old")
-        near = near.union(met)
+        asked = found.filter("known").selectExpr("v", "kind", "id", "n", "a sketch", "b more")
+        if many_hot:
+            few = checked_broadcast(hot.selectExpr("key v"), many_hot)
+            met = met.union(_meeting(stored.join(few, "v", "left_semi"), asked.join(few, "v", "left_semi").hint("shuffle_hash"), threshold))
+            asked = asked.join(few, "v", "left_anti")
+        met = met.union(_meeting(stored, asked.repartition(store.buckets, "v").hint("shuffle_hash"), threshold))
     pairs, linked = spark.createDataFrame([], "a long, b long, old boolean"), 0
-    if near is not None:
-        near, many_near = keep(near.distinct(), "near")
-        texts = docs.select("id", "text") if stored is None else docs.select("id", "text").union(stored.select("id", "text"))
-        pairs, linked = keep(verified_pairs(near, many_near, texts, size, threshold), "pairs") if many_near else (near, 0)
+    if stored is not None or seen["shingles"]:
+        met, many_met = keep(met.distinct(), "met")
+        exact = exact.union(met.filter(F.col("kind") < SHINGLE).selectExpr("v", "kind", "id", "n", "a", "b", "0L s", "old"))
+        if many_met and seen["shingles"]:
+            near = met.filter(F.col("kind") == SHINGLE).selectExpr("id a", "v b", "old")
+            pairs, linked = keep(verified_pairs(near, many_met, docs, size, threshold, store.texts() if stored is not None else None, store.buckets), "pairs")
     if 2 * seen["exact"] + linked <= RESOLVE_ROWS:  # a key or signature is stored once
         lines = exact.union(pairs.selectExpr("b v", f"{PAIR} kind", "a id", "0 n", "0L a", "0L b", "0L s", "old"))
         decided = lines.repartition(1).mapInArrow(_in_order, "id long, kept long")
@@ -369,9 +392,11 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
         decided = _in_rounds(exact, pairs, keep)
     decided, gone = save(decided, f"{home}/decided")
 
-    columns = [c.split()[0] for c in store.ACCEPTED.split(", ")]
-    docs.join(checked_broadcast(decided.select("id"), gone), "id", "left_anti").select(*columns).write.parquet(f"{home}/accepted")
-    entry = {"batch": name, "folder": folder, "size": size, "threshold": threshold, "filter_parts": store.filter_parts, "rows": many, "accepted": many - gone}
+    if accepted := many - gone:
+        taken = docs.join(checked_broadcast(decided.select("id"), gone), "id", "left_anti")
+        write_buckets(_posted(taken, "true").drop("s"), f"{home}/posted", store.buckets, "v")
+        write_buckets(taken.select("id", "text"), f"{home}/texts", store.buckets, "id")
+    entry = {"batch": name, "folder": folder, "size": size, "threshold": threshold, "filter_parts": store.filter_parts, "buckets": store.buckets, "rows": many, "accepted": accepted}
     store.commit(entry | {c: seen[c] for c in ("open", "closed")})
     delete_path(spark, f"{home}/tmp")
     delete_path(spark, f"{home}/screened/what={VALUE}")

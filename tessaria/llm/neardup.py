@@ -282,14 +282,17 @@ def _pair_lists(threshold: float):
     return run
 
 
-def _lists(base: DataFrame, common: DataFrame, save: Save) -> DataFrame:
+def hot_lists(common: DataFrame, save: Save) -> tuple[DataFrame, int]:
+    """(key, blocks) of the lists over LIST, written, and their number; ``common`` has a row (key) for each posting whose list may be so long."""
+    return save(common.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "hot")
+
+
+def _lists(base: DataFrame, hot: DataFrame, many: int) -> DataFrame:
     """Postings (key, id, n, sketch, more, old) -> (key, id, n, sketch, more, old, block), lists of at most about LIST each.
 
     A longer list is dealt into blocks, and every two of its blocks meet in a list of their own: each pair of its postings
-    stays together once. ``common`` has a row (key) for each posting whose list may be so long.
+    stays together once.
     """
-    long = common.groupBy("key").count().filter(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
-    hot, many = save(long, "hot")
     plain = base.select("key", "id", "n", "sketch", "more", "old", F.lit(-1).alias("block"))
     if not many:
         return plain
@@ -343,10 +346,10 @@ def postings(docs: DataFrame, old: bool = False) -> DataFrame:
     return docs.select("id", "n", "sketch", "more", F.explode("vals").alias("key"), F.lit(old).alias("old"))
 
 
-def candidate_pairs(base: DataFrame, common: DataFrame, threshold: float, save: Save = counted) -> DataFrame:
+def candidate_pairs(base: DataFrame, hot: DataFrame, many: int, threshold: float) -> DataFrame:
     """(a, b, old), as often as they meet: pairs of the posted records whose sketches are within reach, not both old; a is the old or the
-    smaller one."""
-    lists = _lists(base, common, save).repartition("key").sortWithinPartitions("key")
+    smaller one. ``hot`` are the many :func:`hot_lists` among them."""
+    lists = _lists(base, hot, many).repartition("key").sortWithinPartitions("key")
     return lists.mapInArrow(_pair_lists(threshold), "a long, b long, old boolean")
 
 
@@ -359,16 +362,24 @@ def within_reach(threshold: float, x: str, y: str) -> str:
     return f"least({n}, {m}) >= {threshold!r}D * greatest({n}, {m}) - 1e-9D and (({n} <= {SHORT}) <> ({m} <= {SHORT}) or {few})"
 
 
-def verified_pairs(near: DataFrame, many: int, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of so many distinct pairs (a, b, old), written already, those whose texts are at least ``threshold`` alike."""
+def verified_pairs(near: DataFrame, many: int, texts: DataFrame, size: int, threshold: float, old_texts: DataFrame | None = None, buckets: int = 0) -> DataFrame:
+    """Of at most so many distinct pairs (a, b, old), written already, those whose texts are at least ``threshold`` alike.
+
+    The texts of old sides are looked up in ``old_texts``, if given, which lies in buckets by id and stays there but for the named ones.
+    """
     sides = near.select("a", "b", "old", F.explode(F.array(F.struct(F.lit(False).alias("second"), F.col("a").alias("id")), F.struct(F.lit(True).alias("second"), F.col("b").alias("id")))).alias("s"))
     # the texts are read once: where the ids of the pairs are small enough to be sent to them, only the named texts move
-    named = texts.select("id", "text").join(checked_broadcast(sides.select("a", "b", "old", "s.second", "s.id"), 2 * many), "id").select("a", "b", "old", "second", "text")
+    sides = sides.select("a", "b", "old", "s.second", "s.id")
+    new = sides if old_texts is None else sides.filter("second or not old")
+    named = texts.select("id", "text").join(checked_broadcast(new, 2 * many), "id").select("a", "b", "old", "second", "text")
+    if old_texts is not None:
+        known = sides.filter("old and not second").repartition(buckets, "id").hint("shuffle_hash")
+        named = named.union(old_texts.join(known, "id").select("a", "b", "old", "second", "text"))
     return named.repartition("a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(_verify(size, threshold), "a long, b long, old boolean")
 
 
 def similar_pairs(base: DataFrame, common: DataFrame, texts: DataFrame, size: int, threshold: float, save: Save = counted) -> DataFrame:
-    near, many = save(candidate_pairs(base, common, threshold, save).distinct(), "near")
+    near, many = save(candidate_pairs(base, *hot_lists(common, save), threshold).distinct(), "near")
     return verified_pairs(near, many, texts, size, threshold) if many else near
 
 

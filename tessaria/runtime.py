@@ -66,6 +66,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_buckets(df: DataFrame, path: str, buckets: int, by: str) -> None:
+    """Write ``df`` to ``path`` dealt by the hash of a column, so that :func:`read_buckets` can join it by that column where it lies.
+
+    Spark writes buckets only into a table of its catalog; the entry is dropped again, the files stay.
+    """
+    name = f"tessaria_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def read_buckets(spark: SparkSession, paths: list[str], schema: str, buckets: int, by: str) -> DataFrame:
+    """Tables of :func:`write_buckets`, all of so many buckets by this column, as one: a bucket is one partition. What is joined with it by
+    the column, and only by it, comes as ``repartition(buckets, by)``; then only that side moves."""
+    jvm, seq = spark.sparkContext._jvm, lambda x: spark.sparkContext._jvm.PythonUtils.toSeq(x)
+    some = jvm.scala.Option.apply
+    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, seq([by]), seq([]))
+    kind = some(spark._jsparkSession.parseDataType(T._parse_datatype_string(schema).json()))
+    source = jvm.org.apache.spark.sql.execution.datasources.DataSource(spark._jsparkSession, "parquet", seq(paths), kind, seq([]), some(spec), jvm.PythonUtils.toScalaMap({}), some(None))
+    return DataFrame(spark._jsparkSession.baseRelationToDataFrame(source.resolveRelation(True, True)), spark)
+
+
 Save = Callable[[DataFrame, str], tuple[DataFrame, int]]
 
 _WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8}

@@ -217,6 +217,40 @@ def test_admit_failure_leaves_nothing(spark, monkeypatch):
     assert not store.commits and [tuple(r) for r in history.admit(store, rows, 0, 3, 0.7).collect()] == [(2, 1)]
 
 
+def moved(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_admit_moves_no_history(spark, monkeypatch):
+    """What a batch moves is the batch: the store's 9,000 fingerprints stay where they lie, also those of a batch too large to be sent to them."""
+    monkeypatch.setattr(history, "SENT_BYTES", 0, raising=False)
+    texts = [" ".join(f"t{i}w{j}" for j in range(60)) for i in range(500)]
+    first = spark.createDataFrame([(i, None, x) for i, x in enumerate(texts)], "id long, key string, text string")
+    second = spark.createDataFrame([(500 + i, None, x + " end") for i, x in enumerate(texts[::100])], "id long, key string, text string")
+    path = history.Store(spark).path
+    assert history.admit(history.Store(spark, path), first, 0, 3, 0.7).isEmpty()
+    before = moved(spark)
+    got = {r.id: r.kept for r in history.admit(history.Store(spark, path), second, 1, 3, 0.7).collect()}
+    assert got == {500 + i: 100 * i for i in range(5)}
+    assert sum(n for stage, n in moved(spark).items() if stage not in before) < 2000
+
+
+def test_admit_value_of_many_rows(spark, monkeypatch):
+    """Fingerprints that more than LIST rows of a batch have in common, with each other and with the store."""
+    monkeypatch.setattr(neardup, "LIST", 10)
+    texts = variants(40, 90, 2) + variants(40, 5, 2)
+    keys = [f"k{i % 70}" if i % 3 else None for i in range(len(texts))]
+    df = spark.createDataFrame([(i, k, x) for i, (x, k) in enumerate(zip(texts, keys, strict=True))], "id long, key string, text string")
+    path, got = history.Store(spark).path, {}
+    for b, some in enumerate(("id < 30", "id >= 30")):
+        got |= {r.id: r.kept for r in history.admit(history.Store(spark, path), df.filter(some), b, 3, 0.7).collect()}
+    assert got == greedy(texts, keys, 0.7)
+
+
 def test_admit_order_of_rarity_from_first_batch(spark):
     """Runs that become frequent only later: every near-duplicate of an earlier batch is found."""
     vocabulary = [f"w{i}" for i in range(4000)]
