@@ -355,7 +355,8 @@ def admit(store: Store, batch: DataFrame, name: int | str, size: int = 5, thresh
     asked = _posted(docs, "leads").selectExpr("*", f"cast(pmod(xxhash64(v), {store.filter_parts}) as int) part", "cast(null as int) layer", "cast(null as bigint) entries", "cast(null as binary) bits")
     if (layers := store.filters()) is not None:
         asked = layers.selectExpr(*[f"cast(null as {t}) {c}" for c, t in (x.split() for x in POSTING.split(", "))], "part", "layer", "entries", "bits").unionByName(asked)
-    screened = asked.repartition(store.filter_parts, "part").sortWithinPartitions("part", F.col("layer").isNull(), "v", "s", "id").mapInArrow(_screen, SCREENED)
+    # a partition each; layers have no v and come first
+    screened = asked.repartitionById(store.filter_parts, F.col("part")).sortWithinPartitions("v", "s", "id").mapInArrow(_screen, SCREENED)
     seen = Observation()
     count = {"open": f"what = {OPEN}", "closed": f"what = {CLOSED}", "known": "known", "exact": f"kind < {SHINGLE}", "shingles": f"kind = {SHINGLE}"}
     screened.observe(seen, *[F.expr(f"count_if({x}) {c}") for c, x in count.items()]).write.partitionBy("what").parquet(f"{home}/screened")

@@ -14,7 +14,7 @@ from tessaria.llm.leaks import find_leaks
 from tessaria.llm.mainbody import main_body
 from tessaria.llm.neardup import all_pairs, joined_text, near_duplicates
 from tessaria.llm.subjects import subject_areas
-from tessaria.runtime import key, table
+from tessaria.runtime import delete_path, fresh_path, key, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replay(rows: DataFrame) -> DataFrame:
-    """Admit the rows (id, batch_no, key[, text]) batch by batch in order of arrival; no batch number counts as 0."""
-    store, no = Store(rows.sparkSession), F.coalesce("batch_no", F.lit(0))
+    """Admit the rows (id, batch_no, key[, text]) batch by batch in order of arrival; no batch number counts as 0.
+
+    The rows are read once and dealt into a folder for each batch, which goes when the batch is admitted."""
+    spark, no = rows.sparkSession, F.coalesce("batch_no", F.lit(0))
+    store, home, schema = Store(spark), fresh_path(spark, "batches"), rows.drop("batch_no").schema
     numbers = sorted(r.n for r in rows.select(no.alias("n")).distinct().collect())  # one per batch
-    decided = [admit(store, rows.filter(no == n).drop("batch_no"), n, ITEM_WORDS, ITEM_SIMILARITY) for n in numbers]
-    return reduce(DataFrame.unionByName, decided) if decided else rows.select("id", F.col("id").alias("kept"))
+    if not numbers:
+        return rows.select("id", F.col("id").alias("kept"))
+    rows.withColumn("batch_no", no).write.partitionBy("batch_no").parquet(home)
+    decided = []
+    for n in numbers:
+        decided.append(admit(store, spark.read.schema(schema).parquet(f"{home}/batch_no={n}"), n, ITEM_WORDS, ITEM_SIMILARITY))
+        delete_path(spark, f"{home}/batch_no={n}")
+    return reduce(DataFrame.unionByName, decided)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

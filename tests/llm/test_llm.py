@@ -271,6 +271,15 @@ def test_replay_early_batches(spark):
     assert sorted((r.id, r.kept) for r in got.collect()) == [(2, 1), (4, 3)]
 
 
+def test_replay_makes_each_row_once(spark):
+    """However many batches there are, the input is read once."""
+    made = spark.sparkContext.accumulator(0)
+    key = F.udf(lambda i: made.add(1) or f"k{i % 50}").asNondeterministic()
+    got = queries._replay(spark.range(60).select("id", F.expr("cast(id div 10 as int) batch_no"), key("id").alias("key")))
+    assert sorted((r.id, r.kept) for r in got.collect()) == [(50 + i, i) for i in range(10)]
+    assert made.value == 60
+
+
 def test_admit_keys_only(spark):
     store = history.Store(spark)
     first = history.admit(store, spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, key string"), 0).collect()
